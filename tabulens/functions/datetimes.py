@@ -56,10 +56,11 @@ def parse_moment(text: Column) -> Column:
     one of them to the ISO order and a single cast parses it.
     """
     cell = _stripped(text)
+    valid = cell.rlike(f"{DATE_PATTERN}|{MOMENT_PATTERN}")
     iso = F.regexp_replace(cell, r"^(\d{2})[-/.](\d{2})[-/.](\d{4})", "$3-$2-$1")
     iso = F.regexp_replace(iso, r"^(\d{4})[-/.](\d{2})[-/.](\d{2})", "$1-$2-$3")
     iso = F.translate(iso, "T,Z", " .")
-    return F.when(cell.rlike(DATE_PATTERN) | cell.rlike(MOMENT_PATTERN), iso.try_cast("timestamp_ntz"))
+    return F.when(valid, iso.try_cast("timestamp_ntz"))
 
 
 def moment_kind(text: Column) -> Column:

@@ -30,28 +30,26 @@ CYRILLIC = {
 }
 
 
-def _latin_pairs() -> tuple[str, str]:
-    """Accented Latin letters and their base letters, from the Unicode decompositions."""
-    accented, plain = "", ""
+def _latin_letters() -> dict[str, str]:
+    """Plain Latin for accented Latin (from the Unicode decompositions) and Cyrillic letters."""
+    letters = {}
     for code in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
         base = unicodedata.normalize("NFD", chr(code))[0]
-        if base.isascii() and base.isalpha() and base != chr(code):
-            accented, plain = accented + chr(code), plain + base
-    return accented, plain
+        if base.isascii() and base.isalpha():
+            letters[chr(code)] = base
+    for letter, latin in CYRILLIC.items():
+        letters[letter], letters[letter.upper()] = latin, latin.capitalize()
+    return letters
 
 
 def transliterate(text: Column) -> Column:
     """Accented Latin and Cyrillic letters in plain Latin; other characters stay."""
-    single = {c: l for c, l in CYRILLIC.items() if len(l) == 1}
-    source, target = _latin_pairs()
-    source += "".join(single) + "".join(single).upper()
-    target += "".join(single.values()) + "".join(single.values()).upper()
-    result = F.translate(text, source, target)
-    for letter, latin in CYRILLIC.items():
-        if len(latin) > 1:
-            result = F.replace(result, F.lit(letter), F.lit(latin))
-            result = F.replace(result, F.lit(letter.upper()), F.lit(latin.capitalize()))
-    return result
+    letters = _latin_letters()
+    single = {c: l for c, l in letters.items() if len(l) == 1}
+    several = [F.lit(x) for c, l in letters.items() if len(l) > 1 for x in (c, l)]
+    plain = F.translate(text, "".join(single), "".join(single.values()))
+    spelled = F.create_map(*several)
+    return F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(spelled[c], c)), "")
 
 
 def _stripped(text: Column) -> Column:
@@ -78,10 +76,10 @@ def position_name(position: Column) -> Column:
     return F.concat(F.lit("column_"), (position + 1).cast("string"))
 
 
-def clean_header(text: Column, position: Column) -> Column:
+def clean_header(text: Column, position: Column, is_header: Column) -> Column:
     """Normalised header, or the position name where the field is no header."""
-    cleaned = clean_symbols(_stripped(text))
-    return F.when((cleaned != "") & is_likely_header(text), F.lower(cleaned)).otherwise(position_name(position))
+    cleaned = F.lower(clean_symbols(_stripped(text)))
+    return F.coalesce(F.when(is_header, F.nullif(cleaned, F.lit(""))), position_name(position))
 
 
 def unique_names(names: Column) -> Column:

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 # What counts as an integer or a floating number in a text cell.
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
-FLOAT_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-FLOAT_WORD_PATTERN = r"(?i)^([+-]?(inf|infinity)|nan)$"
+FLOAT_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|(?i)^([+-]?(inf|infinity)|nan)$"
 
 
 def is_float_text(text: Column) -> Column:
-    return text.rlike(FLOAT_PATTERN) | text.rlike(FLOAT_WORD_PATTERN)
+    return text.rlike(FLOAT_PATTERN)
 
 
 def is_long_text(text: Column) -> Column:

@@ -60,7 +60,8 @@ def top_values(
 
 def value_lines(top: DataFrame) -> DataFrame:
     """The rows of ``top_values`` as text lines: value, count and share."""
-    line = F.format_string("%s (%d, %.2f%%)", "value", "cnt", "percentage")
+    share = F.replace(F.format_number("percentage", 2), F.lit(","), F.lit(""))
+    line = F.concat("value", F.lit(" ("), F.col("cnt").cast("string"), F.lit(", "), share, F.lit("%)"))
     return top.select("column_name", line.alias("line"))
 
 

@@ -157,11 +157,11 @@ def _bucket(date: str, unit: str) -> str:
 
 
 def _rollup(table: str, date: str, unit: str, value: str, with_sum: bool = False) -> str:
-    total = f", round(sum({value}), 6) AS sum__{value}" if with_sum else ""
+    total = f", round(sum({value}), 9) AS sum__{value}" if with_sum else ""
     return (
-        f"SELECT {_bucket(date, unit)} AS datetime, count(*) AS cnt, 'info' AS common, round(min({value}), 6) AS min__{value}, "
-        f"round(max({value}), 6) AS max__{value}, round(median({value}), 6) AS median__{value}, "
-        f"round(avg({value}), 6) AS avg__{value}{total} FROM {table} GROUP BY 1"
+        f"SELECT {_bucket(date, unit)} AS datetime, count(*) AS cnt, 'info' AS common, round(min({value}), 9) AS min__{value}, "
+        f"round(max({value}), 9) AS max__{value}, round(median({value}), 9) AS median__{value}, "
+        f"round(avg({value}), 9) AS avg__{value}{total} FROM {table} GROUP BY 1"
     )
 
 

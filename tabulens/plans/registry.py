@@ -201,7 +201,7 @@ def _group_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def _rollup(name: str, date: str, unit: str, columns: list[str], measures: tuple[str, ...]) -> Query:
     return lambda spark, folder: rounded(
-        rollups.rollup(table(spark, folder, name), date, unit, columns, measures), 6
+        rollups.rollup(table(spark, folder, name), date, unit, columns, measures), 9
     )
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.functions.columns import column
-from tabulens.functions.datetimes import is_date_text, is_moment_text, parse_moment
+from tabulens.functions.columns import column, computed
+from tabulens.functions.datetimes import is_date_text, parse_moment
 from tabulens.functions.numbers import is_float_text, is_long_text, to_double, to_long
 from tabulens.sources.archives import as_columns, packed_records
 from tabulens.sources.files import one_dialect, survey_files
@@ -76,12 +76,12 @@ def _cell(value: Column) -> Column:
     return F.when(~bare.isin(*MISSING_TEXTS), bare)
 
 
-def _class_bit(cell: Column) -> Column:
+def _class_bit(cell: Column, moment: Column) -> Column:
+    """The class of one cell, given what it parses to as a date or moment."""
     number = F.when(is_long_text(cell), _LONG).otherwise(_DOUBLE)
-    moment = F.when(parse_moment(cell).isNull(), _TEXT).when(is_date_text(cell), _DATE).otherwise(_MOMENT)
     return (
-        F.when(is_float_text(cell), number)
-        .when(is_date_text(cell) | is_moment_text(cell), moment)
+        F.when(moment.isNotNull(), F.when(is_date_text(cell), _DATE).otherwise(_MOMENT))
+        .when(is_float_text(cell), number)
         .when(cell.isNotNull(), _TEXT)
     )
 
@@ -96,10 +96,13 @@ def infer_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     rows = rows.select(*[column(n) for n in names])
     if sample_rows is not None:
         rows = rows.limit(sample_rows)
+    cells = computed(rows, [], **{f"c{i}": _cell(column(n)) for i, n in enumerate(names)})
+    moments = {f"m{i}": parse_moment(F.col(f"c{i}")) for i in range(len(names))}
+    parsed = computed(cells, cells.columns, **moments)
     masks = []
-    for name in names:
-        cell = _cell(column(name))
-        bits = F.coalesce(F.bit_or(_class_bit(cell)), F.lit(0))
+    for i, name in enumerate(names):
+        cell = F.col(f"c{i}")
+        bits = F.coalesce(F.bit_or(_class_bit(cell, F.col(f"m{i}"))), F.lit(0))
         masks.append(
             F.struct(
                 F.lit(name).alias("column_name"),
@@ -115,7 +118,7 @@ def infer_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
         .when(mask.isin(_DOUBLE, _LONG | _DOUBLE), "double")
         .otherwise("string")
     )
-    found = rows.agg(F.array(*masks).alias("_rows")).select(F.inline("_rows"))
+    found = parsed.agg(F.array(*masks).alias("_rows")).select(F.inline("_rows"))
     return found.select("column_name", kind.alias("type"), "nullable")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulens.functions.columns import computed
 from tabulens.functions.headers import (
     HEADER_SHARE,
     clean_header,
@@ -56,8 +57,8 @@ def best_delimiter(lines: Column) -> Column:
 
 
 def first_record(head: Column) -> Column:
-    """Everything before the first line break outside quotes, without the byte order mark."""
-    return F.rtrim(F.regexp_extract(head, '^\ufeff?((?:[^"\n]++|"[^"]*+"?)*+)', 1), F.lit("\r"))
+    """Everything before the first line break outside quotes."""
+    return F.rtrim(F.regexp_extract(head, '^((?:[^"\n]++|"[^"]*+"?)*+)', 1), F.lit("\r"))
 
 
 def fields_of(record: Column, delimiter: Column) -> Column:
@@ -76,32 +77,42 @@ def fields_of(record: Column, delimiter: Column) -> Column:
     return F.transform(raw, unquoted)
 
 
-def analyze_header(fields: Column) -> dict[str, Column]:
-    """Share of header-like fields, the verdict, and the column names of a first record."""
-    likes = F.transform(fields, lambda f: F.when(is_likely_header(f), 1.0).otherwise(0.0))
-    share = F.aggregate(likes, F.lit(0.0), lambda a, b: a + b) / F.size(fields)
-    has_header = share >= HEADER_SHARE
-    cleaned = F.transform(fields, clean_header)
+def analyze_header(df: DataFrame, fields: str) -> DataFrame:
+    """Adds the share of header-like fields, the verdict, and the column names of a first record."""
+    likes = F.transform(fields, is_likely_header)
+    judged = computed(df, df.columns, _likes=likes)
+    share = F.size(F.filter("_likes", lambda like: like)) / F.size(fields)
+    cleaned = F.transform(fields, lambda f, i: clean_header(f, i, F.get("_likes", i)))
     numbered = F.transform(fields, lambda f, i: position_name(i))
-    names = unique_names(F.when(has_header, cleaned).otherwise(numbered))
-    return {"header_share": share, "has_header": has_header, "headers": names}
+    named = computed(
+        judged, judged.columns, header_share=share, _names=F.when(share >= HEADER_SHARE, cleaned).otherwise(numbered)
+    )
+    return named.select(
+        *df.columns,
+        "header_share",
+        (F.col("header_share") >= HEADER_SHARE).alias("has_header"),
+        unique_names(F.col("_names")).alias("headers"),
+    )
 
 
 def survey_files(spark: SparkSession, paths: str | list[str], prefix: bool = True) -> DataFrame:
     """One row per file: delimiter, header verdict and the normalised column names."""
     heads = file_heads(spark, paths, HEAD_BYTES)
-    lines = _sample_lines(F.regexp_replace("head", "^\ufeff", ""), F.col("is_cut"))
-    sniffed = heads.select("path", "head", best_delimiter(lines).alias("delimiter"))
-    split = sniffed.select("path", "delimiter", fields_of(first_record(F.col("head")), F.col("delimiter")).alias("f"))
-    header = analyze_header(F.col("f"))
-    names = with_positions(header["headers"]) if prefix else header["headers"]
-    return split.select(
+    bare = computed(heads, ["path", "is_cut"], head=F.regexp_replace("head", "^\\ufeff", ""))
+    lined = computed(bare, ["path", "head"], _lines=_sample_lines(F.col("head"), F.col("is_cut")))
+    sniffed = computed(lined, ["path", "head"], delimiter=best_delimiter(F.col("_lines")))
+    split = computed(
+        sniffed, ["path", "delimiter"], fields=fields_of(first_record(F.col("head")), F.col("delimiter"))
+    )
+    named = analyze_header(split, "fields")
+    headers = with_positions(F.col("headers")) if prefix else F.col("headers")
+    return named.select(
         "path",
         "delimiter",
-        header["has_header"].alias("has_header"),
-        header["header_share"].alias("header_share"),
-        F.size("f").alias("n_columns"),
-        names.alias("headers"),
+        "has_header",
+        "header_share",
+        F.size("fields").alias("n_columns"),
+        headers.alias("headers"),
     )
 
 
