@@ -52,15 +52,21 @@ def is_moment_text(text: Column) -> Column:
 def parse_moment(text: Column) -> Column:
     """Text in any accepted layout to a zone-less timestamp, NULL for anything else.
 
-    The layouts differ only in field order and separators, so two rewrites bring every
-    one of them to the ISO order and a single cast parses it.
+    The layouts differ only in the order of fields of fixed width, so the ISO text is put
+    together from substrings and a single cast parses it.
     """
     cell = _stripped(text)
     valid = cell.rlike(f"{DATE_PATTERN}|{MOMENT_PATTERN}")
-    iso = F.regexp_replace(cell, r"^(\d{2})[-/.](\d{2})[-/.](\d{4})", "$3-$2-$1")
-    iso = F.regexp_replace(iso, r"^(\d{4})[-/.](\d{2})[-/.](\d{2})", "$1-$2-$3")
-    iso = F.translate(iso, "T,Z", " .")
-    return F.when(valid, iso.try_cast("timestamp_ntz"))
+    day_first = F.substring(cell, 3, 1).isin("-", "/", ".")
+    fields = F.when(day_first, _joined(cell, (7, 4), (4, 2), (1, 2))).otherwise(
+        _joined(cell, (1, 4), (6, 2), (9, 2))
+    )
+    clock = F.rtrim(F.replace(F.substring(cell, 11, 20), F.lit(","), F.lit(".")), F.lit("Z"))
+    return F.when(valid, F.concat(fields, clock).try_cast("timestamp_ntz"))
+
+
+def _joined(cell: Column, *places: tuple[int, int]) -> Column:
+    return F.concat_ws("-", *[F.substring(cell, start, length) for start, length in places])
 
 
 def moment_kind(text: Column) -> Column:

@@ -22,7 +22,7 @@ from tabulens.functions.columns import column
 from tabulens.session import cut_lineage
 
 # Values of one group that a single task may sort (with spill) in the exact mode.
-GROUP_VALUES = 20_000_000
+GROUP_VALUES = 2_000_000
 # Accuracy of the sketches: the rank error is the group size divided by it.
 ACCURACY = 10_000
 # Rows of a per-group table that may be broadcast (each carries a few dozen doubles).

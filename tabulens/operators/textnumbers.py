@@ -24,8 +24,12 @@ FENCE = 1.5
 
 
 def numbers_in(text: Column) -> Column:
-    """All numbers of a text in order; commas and line feeds separate numbers."""
-    spaced = F.translate(text, ",\n", "  ")
+    """All numbers of a text in order; every other character, commas and line feeds too, separates.
+
+    Runs of characters no number contains shrink to one space first, which is much faster
+    than trying the number pattern at each of them.
+    """
+    spaced = F.regexp_replace(text, r"[^0-9.\-]+", " ")
     found = F.regexp_extract_all(spaced, F.lit(NUMBER_PATTERN), F.lit(0)).cast("array<double>")
     return F.filter(found, lambda n: F.abs(n) < float("inf"))
 

@@ -19,6 +19,9 @@ CORRUPT = "_corrupt"
 MISSING_TEXTS = ("", r"\N")
 SAMPLE_ROWS = 50_000
 
+# Longest cell Spark can hold.
+CELL_LENGTH = 2**31 - 1
+
 # Bits of the cell classes that a column's mask collects.
 _DATE, _MOMENT, _LONG, _DOUBLE, _TEXT = 1, 2, 4, 8, 16
 
@@ -72,7 +75,7 @@ def read_auto(
 
 def _cell(value: Column) -> Column:
     """The cell without a byte order mark, NULL where it stands for a missing value."""
-    bare = F.regexp_replace(value, "^\ufeff", "")
+    bare = F.when(value.startswith("\ufeff"), F.substring(value, 2, CELL_LENGTH)).otherwise(value)
     return F.when(~bare.isin(*MISSING_TEXTS), bare)
 
 
