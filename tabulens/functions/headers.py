@@ -21,6 +21,12 @@ DATA_DATE_SHAPES = (
 LETTER_SHARE = 0.3
 HEADER_SHARE = 0.5
 
+# Plain spelling of Latin letters that do not decompose.
+LATIN = {
+    "ß": "ss", "Æ": "AE", "æ": "ae", "Ø": "O", "ø": "o", "Œ": "OE", "œ": "oe", "Ł": "L", "ł": "l",
+    "Đ": "D", "đ": "d", "Þ": "Th", "þ": "th", "Ð": "D", "ð": "d", "ı": "i",
+}
+
 # Latin spelling of the Cyrillic letters.
 CYRILLIC = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "io", "ж": "zh", "з": "z",
@@ -37,6 +43,7 @@ def _latin_letters() -> dict[str, str]:
         base = unicodedata.normalize("NFD", chr(code))[0]
         if base.isascii() and base.isalpha():
             letters[chr(code)] = base
+    letters.update(LATIN)
     for letter, latin in CYRILLIC.items():
         letters[letter], letters[letter.upper()] = latin, latin.capitalize()
     return letters

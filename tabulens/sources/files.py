@@ -71,7 +71,7 @@ def fields_of(record: Column, delimiter: Column) -> Column:
 
     def unquoted(field: Column) -> Column:
         bare = F.ltrim(field)
-        inner = F.regexp_extract(bare, '^"(.*)"\\s*$', 1)
+        inner = F.regexp_extract(bare, '(?s)^"(.*)"\\s*$', 1)
         return F.when(bare.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(bare)
 
     return F.transform(raw, unquoted)
