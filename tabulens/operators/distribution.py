@@ -25,35 +25,39 @@ def iqr_fences(df: DataFrame, name: str, exact: bool = True, k: float = FENCE) -
     )
 
 
+def _literals(row_of_borders: DataFrame, size: int) -> list[Column]:
+    """The fields of a one-row table as literals, which reach the scan as pushed filters."""
+    row = row_of_borders.first()
+    return [F.lit(None if row is None else row[i]).cast("double") for i in range(size)]
+
+
 def iqr_outliers(df: DataFrame, name: str, exact: bool = True, k: float = FENCE) -> DataFrame:
     """Number and range of the values outside the fences."""
-    fence = iqr_fences(df, name, exact, k).select(F.struct("lo", "hi")).scalar()
+    lo, hi = _literals(iqr_fences(df, name, exact, k), 2)
     value = column(name)
-    outside = df.select(value.alias("_v")).filter((F.col("_v") < fence["lo"]) | (F.col("_v") > fence["hi"]))
+    outside = df.filter((value < lo) | (value > hi))
     return outside.agg(
         F.count("*").alias("outliers_count"),
-        F.min("_v").alias("min_outlier"),
-        F.max("_v").alias("max_outlier"),
+        F.min(value).alias("min_outlier"),
+        F.max(value).alias("max_outlier"),
     )
 
 
-def bucket_counts(df: DataFrame, name: str, borders: DataFrame, size: int, closed: bool) -> DataFrame:
+def bucket_counts(df: DataFrame, name: str, borders: list[Column], closed: bool) -> DataFrame:
     """Counts of all buckets between neighbouring borders, in one pass.
 
-    ``borders`` has one row with the array ``borders`` of ``size`` elements. Closed buckets
-    include both borders (values on a border count twice), half-open ones exclude the upper.
+    Closed buckets include both borders (values on a border count twice), half-open ones
+    exclude the upper.
     """
-    edges = borders.select("borders").scalar()
     value = column(name).cast("double")
     buckets = []
-    for i in range(size - 1):
-        lo, hi = F.get(edges, F.lit(i)), F.get(edges, F.lit(i + 1))
+    for i, (lo, hi) in enumerate(zip(borders, borders[1:]), 1):
         inside = (value >= lo) & ((value <= hi) if closed else (value < hi))
         buckets.append(
             F.struct(
-                F.lit(i + 1).cast("bigint").alias("bucket"),
-                F.max(lo).alias("range_start"),
-                F.max(hi).alias("range_end"),
+                F.lit(i).cast("bigint").alias("bucket"),
+                lo.alias("range_start"),
+                hi.alias("range_end"),
                 F.count_if(inside).alias("cnt"),
             )
         )
@@ -62,21 +66,23 @@ def bucket_counts(df: DataFrame, name: str, borders: DataFrame, size: int, close
     return counted.withColumn("mid", middle)
 
 
-def _rounded(borders: Column) -> Column:
-    return F.transform(borders, lambda b: F.round(b, BORDER_DECIMALS))
+def _borders(df: DataFrame, name: str, points: tuple[float, ...], exact: bool) -> DataFrame:
+    """One row: the minimum and the quantiles, rounded as borders."""
+    q = summarize(df, [name], points, exact=exact)
+    values = [F.col("min"), *[F.col("q").getItem(i) for i in range(len(points))]]
+    return q.select(*[F.round(v, BORDER_DECIMALS).alias(f"b{i}") for i, v in enumerate(values)])
 
 
 def decile_buckets(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
     """Rows in each half-open bucket between the minimum and the ten deciles."""
-    q = summarize(df, [name], DECILES, exact=exact)
-    borders = q.select(_rounded(F.concat(F.array("min"), "q")).alias("borders"))
-    return bucket_counts(df, name, borders, len(DECILES) + 1, closed=False)
+    borders = _literals(_borders(df, name, DECILES, exact), len(DECILES) + 1)
+    return bucket_counts(df, name, borders, closed=False)
 
 
 def quantile_histogram(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
     """Rows in each closed range between seven quantiles."""
-    borders = summarize(df, [name], BORDER_QUANTILES, exact=exact).select(_rounded(F.col("q")).alias("borders"))
-    return bucket_counts(df, name, borders, len(BORDER_QUANTILES), closed=True)
+    borders = _literals(_borders(df, name, BORDER_QUANTILES, exact), len(BORDER_QUANTILES) + 1)
+    return bucket_counts(df, name, borders[1:], closed=True)
 
 
 def adaptive_histogram(df: DataFrame, name: str, bins: int = 20) -> DataFrame:
@@ -126,8 +132,7 @@ def equal_width_histogram(
     value = column(name).cast("double")
     least = F.min(value) if lo is None else F.lit(float(lo))
     most = F.max(value) if hi is None else F.lit(float(hi))
-    ends = df.agg(F.struct(least.alias("lo"), most.alias("hi"))).scalar()
-    return _counted_bins(df, name, ends["lo"], ends["hi"], bins)
+    return _counted_bins(df, name, *_literals(df.agg(least, most), 2), bins)
 
 
 def central_histogram(
@@ -136,8 +141,7 @@ def central_histogram(
     """Equal-width bins over the values between two quantiles."""
     q = summarize(df, [name], [low, high], exact=exact)
     border = [F.round(F.col("q").getItem(i), BORDER_DECIMALS) for i in (0, 1)]
-    ends = q.select(F.struct(border[0].alias("lo"), border[1].alias("hi"))).scalar()
-    return _counted_bins(df, name, ends["lo"], ends["hi"], bins)
+    return _counted_bins(df, name, *_literals(q.select(*border), 2), bins)
 
 
 def density(histogram: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ Three ways to the same long table (keys, column_name, cnt, min, max, avg, sum, q
 
 * ``exact=False``: ``percentile_approx``, one pass.
 * ``exact=True``, no group too large for one sort: values are counted first (map-side, so
-  hot values collapse), then ranked within their group. One scan, two shuffles.
+  hot values collapse), then ranked within their group.
 * ``exact=True``, some group too large: a sketch brackets each wanted rank, the values are
   counted per bracket, and only the brackets that hold a wanted rank are sorted. Whatever
   the sketch's error, the brackets cover the whole line, so the result is exact.
@@ -28,6 +28,8 @@ ACCURACY = 10_000
 # Rows of a per-group table that may be broadcast (each carries a few dozen doubles).
 BROADCAST_ROWS = 50_000
 
+_INDEX = "_column"
+
 
 def summarize(
     df: DataFrame,
@@ -46,8 +48,13 @@ def summarize(
     if not probabilities or not exact:
         return _one_pass(narrow, columns, probabilities, keys)
     if largest_group(narrow, keys) > group_values:
-        return _by_brackets(narrow, columns, probabilities, keys, group_values)
-    return _by_ranks(narrow, columns, probabilities, keys)
+        ranked = _by_brackets(narrow, columns, probabilities, keys, group_values)
+    else:
+        ranked = _by_ranks(narrow, columns, probabilities, keys)
+    names = F.array(*[F.lit(c) for c in columns])
+    return ranked.select(
+        *_cols(keys), F.get(names, _INDEX).alias("column_name"), "cnt", "min", "max", "avg", "sum", "q"
+    )
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -84,7 +91,9 @@ def _one_pass(df: DataFrame, columns: list[str], probabilities: list[float], key
 
 
 def _value_rows(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    return df.unpivot(_cols(keys), _cols(columns), "column_name", "_v")
+    """One row per value; a number stands for the column, because it sorts faster than a name."""
+    pairs = [x for i, c in enumerate(columns) for x in (F.lit(i), column(c))]
+    return df.select(*_cols(keys), F.stack(F.lit(len(columns)), *pairs).alias(_INDEX, "_v"))
 
 
 def _covers_wanted(start: Column, end: Column, total: Column, probabilities: list[float]) -> Column:
@@ -117,7 +126,7 @@ def _interpolated(hits: Column, total: Column, probabilities: list[float]) -> Co
 
 
 def _by_ranks(df: DataFrame, columns: list[str], probabilities: list[float], keys: list[str]) -> DataFrame:
-    group = [*keys, "column_name"]
+    group = [*keys, _INDEX]
     distinct = _value_rows(df, columns, keys).groupBy(*_cols(group), "_v").agg(F.count("_v").alias("_copies"))
     whole = Window.partitionBy(*_cols(group))
     running = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -138,15 +147,7 @@ def _by_ranks(df: DataFrame, columns: list[str], probabilities: list[float], key
         F.sum(F.col("_v") * F.col("_copies")).alias("sum"),
         F.collect_list(hit).alias("_hits"),
     )
-    return summary.select(
-        *_cols(group),
-        "cnt",
-        "min",
-        "max",
-        (F.col("sum") / F.nullif(F.col("cnt"), F.lit(0))).alias("avg"),
-        "sum",
-        _interpolated(F.col("_hits"), F.col("cnt"), probabilities).alias("q"),
-    )
+    return summary.select(*_cols(group), *_summary_fields(probabilities))
 
 
 def _settled(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,50 +167,60 @@ def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
     return left.join(F.broadcast(right) if small else right, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
-def _is_small(df: DataFrame, keys: list[str]) -> bool:
-    """One row per column without keys; otherwise the checkpointed rows are counted."""
-    return not keys or df.count() <= BROADCAST_ROWS
-
-
 def _by_brackets(
     df: DataFrame, columns: list[str], probabilities: list[float], keys: list[str], group_values: int
 ) -> DataFrame:
-    group = [*keys, "column_name"]
+    """Large groups: brackets around the wanted ranks from a sketch, counted on the raw values."""
+    group = [*keys, _INDEX]
     slack = 2.0 / ACCURACY
-    edge_points = sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)})
-    summary = _settled(_one_pass(df, columns, edge_points, keys).withColumnRenamed("q", "_edges"), keys)
-
-    # With keys only large groups are split; there are at most rows / group_values of them.
-    large = summary.filter(F.col("cnt") > group_values) if keys else summary
-    edges = large.select(*_cols(group), "_edges")
-    values = _value_rows(df, columns, keys).filter("_v IS NOT NULL")
-    below = [(F.col("_v") > F.col("_edges").getItem(i)).cast("int") for i in range(len(edge_points))]
+    points = sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)})
+    sketched = _one_pass(df, columns, points, keys).filter(F.col("cnt") > group_values)
+    index = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column_name")) - 1
+    edges = sketched.select(*_cols(keys), index.cast("int").alias(_INDEX), F.col("q").alias("_edges"))
+    edges = _settled(edges, keys)
+
+    # Smaller groups stay whole; of the split ones there are at most rows / group_values.
+    values = _value_rows(df, columns, keys)
+    below = [(F.col("_v") > F.col("_edges").getItem(i)).cast("long") for i in range(len(points))]
     bracket = F.coalesce(reduce(lambda a, b: a + b, below), F.lit(0))
-    placed = _null_safe_join(values, edges, group, "left", _is_small(edges, keys))
-    placed = placed.select(*_cols(group), "_v", bracket.alias("_bracket"))
+    placed = _null_safe_join(values, edges, group, "left", _is_small(edges, keys)).select(
+        *_cols(group), "_v", F.when(F.col("_v").isNotNull(), 1).otherwise(0).alias("_copies"), bracket.alias("_bracket")
+    )
+    return _rank_in_brackets(placed, group, probabilities, settle=bool(keys))
 
-    # Rank range of every bracket, and the brackets that hold a wanted rank.
+
+def _rank_in_brackets(placed: DataFrame, group: list[str], probabilities: list[float], settle: bool) -> DataFrame:
+    """The summary from values in ordered brackets; only brackets with a wanted rank are sorted.
+
+    ``settle`` says that there may be many groups: what is joined back is then checkpointed
+    and counted before it is broadcast. Otherwise it has a few rows per column.
+    """
+    sizes = placed.groupBy(*_cols(group), "_bracket").agg(
+        F.sum("_copies").alias("_size"),
+        F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"),
+        F.sum(F.col("_v") * F.col("_copies")).alias("_sum"),
+    )
     per_group = Window.partitionBy(*_cols(group))
     in_order = per_group.orderBy("_bracket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = placed.groupBy(*_cols(group), "_bracket").agg(F.count("*").alias("_size"))
     ranged = sizes.select(
-        *_cols(group),
-        "_bracket",
+        "*",
         (F.sum("_size").over(in_order) - F.col("_size")).alias("_before"),
-        F.sum("_size").over(in_order).alias("_after"),
         F.sum("_size").over(per_group).alias("_total"),
     )
-    hold = _covers_wanted(F.col("_before"), F.col("_after"), F.col("_total"), probabilities)
-    wanted = ranged.filter(hold).drop("_after")
-    if keys:
-        wanted = cut_lineage(wanted)
+    if settle:
+        ranged = cut_lineage(ranged)
+    after = F.col("_before") + F.col("_size")
+    holds = (F.col("_size") > 0) & _covers_wanted(F.col("_before"), after, F.col("_total"), probabilities)
+    in_bracket = [*group, "_bracket"]
+    wanted = ranged.filter(holds).select(*_cols(in_bracket), "_before", "_total")
 
     # Distinct values of the wanted brackets, with the ranks each of them covers.
-    in_bracket = [*group, "_bracket"]
+    few = not settle or wanted.count() <= BROADCAST_ROWS
     candidates = (
-        _null_safe_join(placed, wanted, in_bracket, "inner", _is_small(wanted, keys))
+        _null_safe_join(placed, wanted, in_bracket, "inner", few)
         .groupBy(*_cols(in_bracket), "_before", "_total", "_v")
-        .agg(F.count("*").alias("_copies"))
+        .agg(F.sum("_copies").alias("_copies"))
     )
     running = (
         Window.partitionBy(*_cols(in_bracket))
@@ -223,12 +234,24 @@ def _by_brackets(
 
     # At most two values per quantile are left in a group.
     hits = covered.groupBy(*_cols(group)).agg(F.collect_list(F.struct("_from", "_to", "_v")).alias("_hits"))
-    return _null_safe_join(summary.drop("_edges"), hits, group, "left", small=not keys).select(
-        *_cols(group),
-        "cnt",
-        "min",
-        "max",
-        "avg",
-        "sum",
-        _interpolated(F.col("_hits"), F.col("cnt"), probabilities).alias("q"),
+    summary = ranged.groupBy(*_cols(group)).agg(
+        F.sum("_size").alias("cnt"), F.min("_min").alias("min"), F.max("_max").alias("max"), F.sum("_sum").alias("sum")
     )
+    joined = _null_safe_join(summary, hits, group, "left", small=not settle)
+    return joined.select(*_cols(group), *_summary_fields(probabilities))
+
+
+def _summary_fields(probabilities: list[float]) -> list[Column]:
+    return [
+        F.col("cnt"),
+        F.col("min"),
+        F.col("max"),
+        (F.col("sum") / F.nullif(F.col("cnt"), F.lit(0))).alias("avg"),
+        F.col("sum"),
+        _interpolated(F.col("_hits"), F.col("cnt"), probabilities).alias("q"),
+    ]
+
+
+def _is_small(df: DataFrame, keys: list[str]) -> bool:
+    """One row per column without keys; otherwise the checkpointed rows are counted."""
+    return not keys or df.count() <= BROADCAST_ROWS

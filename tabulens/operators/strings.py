@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabulens.functions.columns import column, string_columns
 from tabulens.functions.datetimes import parse_moment
 from tabulens.functions.numbers import is_float_text, percent
-from tabulens.operators.cardinality import text_key
+from tabulens.operators.cardinality import SKETCH_BITS, text_key
 
 # Date shapes of the date-likeness test, and the share that must look alike.
 DATE_SHAPES = (
@@ -44,10 +44,10 @@ def string_profile(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
             length.alias("_min"),
             length.alias("_max"),
             length.alias("_sum"),
-            value.alias("_v"),
+            F.when(value.isNotNull(), F.xxhash64(value)).alias("_v"),
         )
     )
-    unique = F.count("_v") if exact else F.approx_count_distinct("_v", 0.02)
+    unique = F.count("_v") if exact else F.hll_sketch_estimate(F.hll_sketch_agg("_v", SKETCH_BITS))
     filled = F.sum(F.when(F.col("_min").isNotNull(), F.col("_rows")))
     totals = per_value.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_count"),
