@@ -105,24 +105,24 @@ def _covers_wanted(start: Column, end: Column, total: Column, probabilities: lis
     return reduce(lambda a, b: a | b, tests)
 
 
-def _interpolated(hits: Column, total: Column, probabilities: list[float]) -> Column:
-    """Linear interpolation between the values at both sides of every position."""
-
-    def at(rank: Column) -> Column:
-        return F.get(F.filter(hits, lambda h: (h["_from"] <= rank) & (rank < h["_to"])), F.lit(0))["_v"]
-
-    def sides(p: Column) -> Column:
-        position = p * (total - 1)
-        return F.struct(
-            position.alias("at"), at(F.floor(position)).alias("low"), at(F.ceil(position)).alias("high")
-        )
-
-    def between(s: Column) -> Column:
-        mixed = (F.ceil(s["at"]) - s["at"]) * s["low"] + (s["at"] - F.floor(s["at"])) * s["high"]
-        return F.when(s["low"] == s["high"], s["low"]).otherwise(mixed)
-
-    points = F.array(*[F.lit(p) for p in probabilities])
-    return F.when(total > 0, F.transform(F.transform(points, sides), between))
+def _neighbours(start: Column, end: Column, total: Column, probabilities: list[float]) -> list[Column]:
+    """Per quantile the values on both sides of its position, from rows that cover ranks [start, end)."""
+    found = []
+    for i, p in enumerate(probabilities):
+        for side, rank in (("low", F.floor(F.lit(p) * (total - 1))), ("high", F.ceil(F.lit(p) * (total - 1)))):
+            covers = (start <= rank) & (rank < end)
+            found.append(F.max(F.when(covers, F.col("_v"))).alias(f"_{side}{i}"))
+    return found
+
+
+def _interpolated(total: Column, probabilities: list[float]) -> Column:
+    """Linear interpolation between the neighbours of every position."""
+    quantiles = []
+    for i, p in enumerate(probabilities):
+        position, low, high = F.lit(p) * (total - 1), F.col(f"_low{i}"), F.col(f"_high{i}")
+        mixed = (F.ceil(position) - position) * low + (position - F.floor(position)) * high
+        quantiles.append(F.when(low == high, low).otherwise(mixed))
+    return F.when(total > 0, F.array(*quantiles))
 
 
 def _by_ranks(df: DataFrame, columns: list[str], probabilities: list[float], keys: list[str]) -> DataFrame:
@@ -137,15 +137,13 @@ def _by_ranks(df: DataFrame, columns: list[str], probabilities: list[float], key
         F.sum("_copies").over(running).alias("_to"),
         F.sum("_copies").over(whole).alias("_total"),
     )
-    start = F.col("_to") - F.col("_copies")
-    wanted = (F.col("_copies") > 0) & _covers_wanted(start, F.col("_to"), F.col("_total"), probabilities)
-    hit = F.when(wanted, F.struct(start.alias("_from"), "_to", "_v"))
+    start = F.when(F.col("_copies") > 0, F.col("_to") - F.col("_copies"))
     summary = ranked.groupBy(*_cols(group)).agg(
         F.sum("_copies").alias("cnt"),
         F.min("_v").alias("min"),
         F.max("_v").alias("max"),
         F.sum(F.col("_v") * F.col("_copies")).alias("sum"),
-        F.collect_list(hit).alias("_hits"),
+        *_neighbours(start, F.col("_to"), F.col("_total"), probabilities),
     )
     return summary.select(*_cols(group), *_summary_fields(probabilities))
 
@@ -232,8 +230,8 @@ def _rank_in_brackets(placed: DataFrame, group: list[str], probabilities: list[f
         *_cols(group), "_v", "_total", (end - F.col("_copies")).alias("_from"), end.alias("_to")
     ).filter(_covers_wanted(F.col("_from"), F.col("_to"), F.col("_total"), probabilities))
 
-    # At most two values per quantile are left in a group.
-    hits = covered.groupBy(*_cols(group)).agg(F.collect_list(F.struct("_from", "_to", "_v")).alias("_hits"))
+    neighbours = _neighbours(F.col("_from"), F.col("_to"), F.col("_total"), probabilities)
+    hits = covered.groupBy(*_cols(group)).agg(*neighbours)
     summary = ranged.groupBy(*_cols(group)).agg(
         F.sum("_size").alias("cnt"), F.min("_min").alias("min"), F.max("_max").alias("max"), F.sum("_sum").alias("sum")
     )
@@ -248,7 +246,7 @@ def _summary_fields(probabilities: list[float]) -> list[Column]:
         F.col("max"),
         (F.col("sum") / F.nullif(F.col("cnt"), F.lit(0))).alias("avg"),
         F.col("sum"),
-        _interpolated(F.col("_hits"), F.col("cnt"), probabilities).alias("q"),
+        _interpolated(F.col("cnt"), probabilities).alias("q"),
     ]
 
 
