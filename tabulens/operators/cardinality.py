@@ -65,3 +65,20 @@ def cardinality_quantiles(
     points = F.percentile("uniq", [0.5, 0.2, 0.8])  # one row per column, whatever the table's size
     q = counts.agg(points.alias("q"))
     return q.select(*[F.col("q").getItem(i).alias(n) for i, n in enumerate(("med", "p20", "p80"))])
+
+
+def columns_within(
+    df: DataFrame, columns: Sequence[str], least: int, most: int, exact: bool = False
+) -> list[str]:
+    """Columns with more than ``least`` and fewer than ``most`` distinct values.
+
+    A sketch settles the clear cases in one pass; only columns near a limit are counted exactly.
+    """
+    names = list(columns)
+    if not names:
+        return []
+    counts = {r["column_name"]: r["uniq"] for r in cardinality(df, names, exact=exact).collect()}
+    unsure = [] if exact else [n for n in names if any(0.8 * x <= counts[n] <= 1.25 * x + 1 for x in (least, most))]
+    if unsure:
+        counts.update({r["column_name"]: r["uniq"] for r in cardinality(df, unsure).collect()})
+    return [n for n in names if least < counts[n] < most]

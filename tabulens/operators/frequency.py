@@ -9,25 +9,16 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.columns import column, string_columns
 from tabulens.functions.numbers import percent
-from tabulens.operators.cardinality import cardinality
+from tabulens.operators.cardinality import columns_within
 
 # A column is grouped when it has more than LEAST and fewer than MOST values.
 LEAST_VALUES, MOST_VALUES = 1, 1000
 
 
 def groupable_columns(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> list[str]:
-    """String columns whose number of distinct values makes grouping worthwhile.
-
-    The sketch settles clear cases; columns near the upper limit are counted exactly.
-    """
+    """String columns whose number of distinct values makes grouping worthwhile."""
     names = list(columns) if columns is not None else string_columns(df)
-    if not names:
-        return []
-    counts = {r["column_name"]: r["uniq"] for r in cardinality(df, names, exact=exact).collect()}
-    unsure = [n for n in names if not exact and (counts[n] <= 2 or 0.8 < counts[n] / MOST_VALUES < 1.25)]
-    if unsure:
-        counts.update({r["column_name"]: r["uniq"] for r in cardinality(df, unsure).collect()})
-    return [n for n in names if LEAST_VALUES < counts[n] < MOST_VALUES]
+    return columns_within(df, names, LEAST_VALUES, MOST_VALUES, exact)
 
 
 def _ordering(rare: bool, ties: Sequence[str]) -> list[Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import column, counted_columns, numeric_columns
-from tabulens.operators.cardinality import cardinality
+from tabulens.operators.cardinality import cardinality, columns_within
 from tabulens.operators.numeric import named_quantiles
 from tabulens.operators.quantiles import summarize
 
@@ -49,10 +49,21 @@ def column_overview(df: DataFrame, columns: Sequence[str] | None = None, exact:
     return result
 
 
+def describe_numbers(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """Per numeric column: count, mean, sample deviation, minimum, quartiles and maximum."""
+    names = list(columns) if columns is not None else numeric_columns(df)
+    spread = [F.struct(F.lit(n).alias("column_name"), F.stddev_samp(column(n)).alias("std")) for n in names]
+    deviations = df.agg(F.array(*spread).alias("_rows")).select(F.inline("_rows"))
+    summary = summarize(df, names, [0.25, 0.5, 0.75], exact=exact)
+    both = summary.join(F.broadcast(deviations), "column_name")  # one row per column
+    quartiles = named_quantiles(["p25", "p50", "p75"])
+    return both.select("column_name", "cnt", F.col("avg").alias("mean"), "std", "min", *quartiles, "max")
+
+
 def sample_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Up to five smallest values of every column with few distinct ones."""
     names = list(columns) if columns is not None else counted_columns(df)
-    few = [r["column_name"] for r in cardinality(df, names).filter(F.col("uniq") < SAMPLE_LIMIT).collect()]
+    few = columns_within(df, names, 0, SAMPLE_LIMIT)
     if not few:
         return df.sparkSession.createDataFrame([], "column_name string, value string")
     texts = df.select(*[column(n).cast("string").alias(n) for n in few])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -205,3 +206,23 @@ def all_rollups(
     if stacked is None:
         raise ValueError("the table has no date column")
     return stacked
+
+
+def all_measures(
+    df: DataFrame,
+    dates: Sequence[str] | None = None,
+    units: Sequence[str] = UNITS,
+    columns: Sequence[str] | None = None,
+    measures: Sequence[str] = MEASURES,
+    exact: bool = True,
+) -> DataFrame:
+    """The measure rollups of every date column and unit in one long table, NULL buckets kept."""
+    names = date_columns(df) if dates is None else list(dates)
+    if not names:
+        raise ValueError("the table has no date column")
+    parts = [
+        rollup(df, name, unit, columns, measures, exact=exact).withColumn("rollup", F.lit(f"{name}__{unit}"))
+        for name in names
+        for unit in units
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -47,7 +47,7 @@ def route(df: DataFrame, text: str) -> DataFrame:
 def _with_numbers(df: DataFrame, key: str, text: str) -> DataFrame:
     """Per text with numbers: the numbers in order of appearance and of size, and the quartiles."""
     found = computed(df, [key], _n=numbers_in(column(text))).filter(F.size("_n") > 0)
-    ordered = computed(found, [key, "_n"], _s=F.array_sort("_n"))
+    ordered = computed(found, [key, "_n"], _s=F.sort_array("_n"))
     quartiles = {q: round_two(_quantile(F.col("_s"), TEXT_QUANTILES[q])) for q in ("q1", "q3")}
     return computed(ordered, [key, "_n", "_s"], **quartiles)
 

@@ -156,12 +156,12 @@ def _bucket(date: str, unit: str) -> str:
     return f"strftime(date_trunc('{unit}', {date}), '{_FORMATS[unit]}')"
 
 
-def _rollup(table: str, date: str, unit: str, value: str, with_sum: bool = False) -> str:
-    total = f", round(sum({value}), 9) AS sum__{value}" if with_sum else ""
+def _rollup(table: str, date: str, unit: str, value: str, digits: int, with_sum: bool = False) -> str:
+    total = f", round(sum({value}), {digits}) AS sum__{value}" if with_sum else ""
     return (
-        f"SELECT {_bucket(date, unit)} AS datetime, count(*) AS cnt, 'info' AS common, round(min({value}), 9) AS min__{value}, "
-        f"round(max({value}), 9) AS max__{value}, round(median({value}), 9) AS median__{value}, "
-        f"round(avg({value}), 9) AS avg__{value}{total} FROM {table} GROUP BY 1"
+        f"SELECT {_bucket(date, unit)} AS datetime, count(*) AS cnt, 'info' AS common, round(min({value}), {digits}) AS min__{value}, "
+        f"round(max({value}), {digits}) AS max__{value}, round(median({value}), {digits}) AS median__{value}, "
+        f"round(avg({value}), {digits}) AS avg__{value}{total} FROM {table} GROUP BY 1"
     )
 
 
@@ -298,6 +298,14 @@ def all_oracles() -> dict[str, str]:
                 for n, t in zip(_PART, ["bigint", "string", "string", "string", "int", "double"])
             ]
         ),
+        "describe_numbers": _union(
+            [
+                f"SELECT '{n}' AS column_name, count({n}) AS cnt, round(avg({n}), 4) AS mean, round(stddev_samp({n}), 4) AS std, "
+                f"min({n})::DOUBLE AS min, {_q(n, 0.25)} AS p25, {_q(n, 0.5)} AS p50, {_q(n, 0.75)} AS p75, "
+                f"max({n})::DOUBLE AS max FROM customer"
+                for n in ("c_custkey", "c_nationkey", "c_acctbal")
+            ]
+        ),
         "sample_values": _union(
             [
                 f"SELECT '{n}' AS column_name, v AS value FROM (SELECT DISTINCT {n} AS v FROM orders ORDER BY 1 LIMIT 5)"
@@ -389,10 +397,16 @@ def all_oracles() -> dict[str, str]:
         "AS has_numbers FROM documents) GROUP BY 1",
         "text_number_stats": _TEXT_STATS,
         "text_number_outliers": _TEXT_OUTLIERS,
-        "rollup_hour": _rollup("events", "ts", "hour", "value", with_sum=True),
-        "rollup_day": _rollup("events", "ts", "day", "value"),
-        "rollup_month": _rollup("orders", "o_orderdate", "month", "o_totalprice"),
-        "rollup_year": _rollup("orders", "o_orderdate", "year", "o_totalprice"),
+        "rollup_hour": _rollup("events", "ts", "hour", "value", 7, with_sum=True),
+        "rollup_day": _rollup("events", "ts", "day", "value", 7),
+        "rollup_month": _rollup("orders", "o_orderdate", "month", "o_totalprice", 5),
+        "rollup_year": _rollup("orders", "o_orderdate", "year", "o_totalprice", 5),
+        "rollup_all_measures": _union(
+            [
+                f"SELECT 'o_orderdate__{u}' AS rollup, * FROM ({_rollup('orders', 'o_orderdate', u, 'o_totalprice', 5)})"
+                for u in ("day", "month", "year")
+            ]
+        ),
         "rollup_sum_day": f"SELECT {_bucket('ts', 'day')} AS date, count(*) AS cnt, sum(user_id)::BIGINT AS sum_value "
         "FROM events GROUP BY 1",
         "rollup_all_sums": _all_sums("orders", "o_orderdate", "o_orderkey", "sum(o_orderkey)::BIGINT"),

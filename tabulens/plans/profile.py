@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.functions.columns import numeric_columns, string_columns
+from tabulens.functions.columns import date_columns, numeric_columns, string_columns
 from tabulens.functions.numbers import short_text
 from tabulens.operators.cardinality import cardinality
 from tabulens.operators.frequency import groupable_columns, top_combos, top_values
 from tabulens.operators.numeric import PROFILE_QUANTILES, profile_long
-from tabulens.operators.rollups import all_rollups, date_columns
+from tabulens.operators.rollups import all_measures, all_rollups
 
 # Name of the row about the whole table, and the fields of a profile in order.
 WHOLE_TABLE = "all"
@@ -86,5 +86,6 @@ def full_profile(df: DataFrame, exact: bool = True) -> dict[str, DataFrame]:
         parts["frequent_combinations"] = top_combos(df, grouped)
         parts["rare_combinations"] = top_combos(df, grouped, rare=True, min_count=2)
     if date_columns(df):
-        parts["rollups"] = all_rollups(df)
+        parts["rollups"] = all_measures(df, exact=exact)
+        parts["graphs"] = all_rollups(df)
     return parts

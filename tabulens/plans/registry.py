@@ -199,19 +199,6 @@ def _group_lines(spark: SparkSession, folder: str) -> DataFrame:
     return frequency.value_lines(frequency.group_table(top))
 
 
-def _rollup(name: str, date: str, unit: str, columns: list[str], measures: tuple[str, ...]) -> Query:
-    return lambda spark, folder: rounded(
-        rollups.rollup(table(spark, folder, name), date, unit, columns, measures), 9
-    )
-
-
-def _export_rollups(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events")
-    path = fresh_path(spark, "rollups")
-    export.export_rollups(rollups.all_rollups(events, ["ts"], "user_id"), path)
-    return export.read_rollups(spark, path, "cnt bigint, datetime string, sum_value bigint")
-
-
 def _on(name: str, build: Callable[[DataFrame], DataFrame], digits: int | None = 4) -> Query:
     """A query that applies one operator to one table."""
 
@@ -222,6 +209,17 @@ def _on(name: str, build: Callable[[DataFrame], DataFrame], digits: int | None =
     return run
 
 
+def _rollup(name: str, date: str, unit: str, columns: list[str], measures: tuple[str, ...], digits: int) -> Query:
+    return _on(name, lambda t: rollups.rollup(t, date, unit, columns, measures), digits)
+
+
+def _export_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events")
+    path = fresh_path(spark, "rollups")
+    export.export_rollups(rollups.all_rollups(events, ["ts"], "user_id"), path)
+    return export.read_rollups(spark, path, "cnt bigint, datetime string, sum_value bigint")
+
+
 def all_queries() -> dict[str, Query]:
     plain = ("min", "max", "median", "avg")
     return {
@@ -265,6 +263,7 @@ def all_queries() -> dict[str, Query]:
         "profile_table": _on("part", profile.profile_table),
         "profile_report": _on("part", lambda t: profile.profile_report(profile.profile_table(t))),
         "column_overview": _on("part", overview.column_overview),
+        "describe_numbers": _on("customer", overview.describe_numbers),
         "sample_values": _on("orders", overview.sample_values),
         "missing_values": _on("part", strings.missing_values),
         # frequencies
@@ -323,10 +322,15 @@ def all_queries() -> dict[str, Query]:
             lambda t: textnumbers.text_number_outliers(t, "doc_id", "text").select("doc_id", "outliers"),
         ),
         # time
-        "rollup_hour": _rollup("events", "ts", "hour", ["value"], rollups.MEASURES),
-        "rollup_day": _rollup("events", "ts", "day", ["value"], plain),
-        "rollup_month": _rollup("orders", "o_orderdate", "month", ["o_totalprice"], plain),
-        "rollup_year": _rollup("orders", "o_orderdate", "year", ["o_totalprice"], plain),
+        "rollup_hour": _rollup("events", "ts", "hour", ["value"], rollups.MEASURES, 7),
+        "rollup_day": _rollup("events", "ts", "day", ["value"], plain, 7),
+        "rollup_month": _rollup("orders", "o_orderdate", "month", ["o_totalprice"], plain, 5),
+        "rollup_year": _rollup("orders", "o_orderdate", "year", ["o_totalprice"], plain, 5),
+        "rollup_all_measures": _on(
+            "orders",
+            lambda t: rollups.all_measures(t, units=("day", "month", "year"), columns=["o_totalprice"], measures=plain),
+            5,
+        ),
         "rollup_sum_day": _on("events", lambda t: rollups.rollup_sum(t, "ts", "day", "user_id")),
         "rollup_all_sums": _on("orders", lambda t: rollups.all_rollups(t), 2),
         "rollup_week": _on("events", lambda t: rollups.rollup_count(t, "ts", "week")),

@@ -11,13 +11,15 @@ from pyspark.sql import types as T
 from tabulens.functions.columns import column, computed
 from tabulens.functions.datetimes import is_date_text, parse_moment
 from tabulens.functions.numbers import is_float_text, is_long_text, to_double, to_long
-from tabulens.sources.archives import as_columns, packed_records
+from tabulens.sources.archives import as_columns, list_files, packed_records
 from tabulens.sources.files import one_dialect, survey_files
 
 CORRUPT = "_corrupt"
 # Cells that stand for a missing value, and rows of a sampled inference.
 MISSING_TEXTS = ("", r"\N")
 SAMPLE_ROWS = 50_000
+# Archives that Spark's own reader does not unpack.
+PACKED_PATTERN = r"\.(zip|lz4)$"
 
 # Longest cell Spark can hold.
 CELL_LENGTH = 2**31 - 1
@@ -34,15 +36,18 @@ def read_delimited(
     header: bool = True,
     multi_line: bool = False,
     packed: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """All cells as strings. Records of the wrong width are padded or cut and flagged.
 
     ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
-    ``packed`` reads zip and LZ4 archives; gzip is read natively.
+    ``packed`` reads zip and LZ4 archives; gzip is read natively. One task reads one packed
+    file; ``partitions`` spreads its rows for the work that follows.
     """
     paths = paths if isinstance(paths, str) else list(paths)
     if packed:
-        return as_columns(packed_records(spark, paths, delimiter, header), list(names), CORRUPT)
+        records = packed_records(spark, paths, delimiter, header)
+        return as_columns(records if partitions is None else records.repartition(partitions), list(names), CORRUPT)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     rows = (
         spark.read.schema(schema)
@@ -59,6 +64,7 @@ def read_delimited(
         .csv(paths)
     )
     cells = [F.nullif(column(n), F.lit("")).alias(n) for n in names]
+    rows = rows if partitions is None else rows.repartition(partitions)
     return rows.select(*cells, column(CORRUPT))
 
 
@@ -69,7 +75,7 @@ def read_auto(
     paths = paths if isinstance(paths, str) else list(paths)
     survey = survey_files(spark, paths, prefix)
     delimiter, header, names = one_dialect(survey)
-    packed = survey.filter(F.lower("path").rlike(r"\.(zip|lz4)$")).limit(1).count() > 0
+    packed = not list_files(spark, paths).filter(F.lower("path").rlike(PACKED_PATTERN)).isEmpty()
     return read_delimited(spark, paths, names, delimiter, header, multi_line, packed)
 
 

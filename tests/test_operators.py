@@ -302,6 +302,8 @@ def test_all_rollups_equal_the_single_ones(visits):
         for r in rollups.rollup_sum(df, "at", u).collect()
     }
     assert long == single
+    measured = {(r["rollup"], r["datetime"]): (r["cnt"], r["sum__n"]) for r in rollups.all_measures(df).collect()}
+    assert measured == single
     dates = df.selectExpr("cast(at as date) AS d", "n")
     assert rollups.units_of(dates, "d") == ("day", "month", "year")
     assert {r["rollup"] for r in rollups.all_rollups(dates).collect()} == {"d__day", "d__month", "d__year"}
@@ -361,7 +363,7 @@ def test_profile_of_an_empty_table(people):
 
 def test_full_profile_parts(visits, people):
     df, _ = visits
-    assert set(profile.full_profile(df)) == {"columns", "rollups"}
+    assert set(profile.full_profile(df)) == {"columns", "rollups", "graphs"}
     parts = profile.full_profile(people)
     assert set(parts) == {"columns", "frequent", "rare", "frequent_combinations", "rare_combinations"}
     assert all(part.columns for part in parts.values())
