@@ -85,7 +85,7 @@ def quantile_histogram(df: DataFrame, name: str, exact: bool = True) -> DataFram
     return bucket_counts(df, name, borders[1:], closed=True)
 
 
-def adaptive_histogram(df: DataFrame, name: str, bins: int = 20) -> DataFrame:
+def adaptive_histogram(df: DataFrame, name: str, n_bins: int = 20) -> DataFrame:
     """Streaming histogram with data-dependent borders: contiguous bins, start to end.
 
     Centroids come from the built-in sketch; neighbours meet halfway, and the outer bins end
@@ -93,7 +93,7 @@ def adaptive_histogram(df: DataFrame, name: str, bins: int = 20) -> DataFrame:
     """
     value = column(name).cast("double")
     sketch = df.agg(
-        F.histogram_numeric(value, F.lit(bins)).alias("_bins"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
+        F.histogram_numeric(value, F.lit(n_bins)).alias("_bins"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
     )
     points = F.array_sort(F.transform("_bins", lambda b: F.struct(b["x"].alias("x"), b["y"].alias("y"))))
     indexed = sketch.select("_lo", "_hi", points.alias("_p")).select("*", F.posexplode("_p").alias("_i", "_b"))
@@ -104,9 +104,11 @@ def adaptive_histogram(df: DataFrame, name: str, bins: int = 20) -> DataFrame:
     i = F.col("_i")
     start = F.when(i == 0, F.col("_lo")).otherwise(halfway(i - 1))
     end = F.when(i == F.size("_p") - 1, F.col("_hi")).otherwise(halfway(i))
-    return indexed.select(
+    bins = indexed.select(
         start.alias("range_start"), end.alias("range_end"), F.col("_b.y").cast("double").alias("height")
-    ).orderBy("range_start")
+    )
+    middle = (F.col("range_start") + F.col("range_end")) / 2
+    return bins.withColumn("mid", middle).orderBy("range_start")
 
 
 def _bin_of(value: Column, lo: Column, hi: Column, bins: int) -> Column:

@@ -136,11 +136,11 @@ _TEXT_STATS = (
     + f" FROM a) SELECT *, {_round_two('(q3 - q1)')} AS iqr FROM b"
 )
 
-_TEXT_OUTLIERS = (
+_OUTSIDE = (
     f"WITH {_NUMBERS}, q AS (SELECT doc_id, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM x GROUP BY 1), "
-    f"f AS (SELECT doc_id, {_round_two('a')} AS q1, {_round_two('b')} AS q3 FROM q) "
-    "SELECT x.doc_id, count(*) AS outliers FROM x JOIN f USING (doc_id) "
-    "WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1) GROUP BY 1"
+    f"f AS (SELECT doc_id, {_round_two('a')} AS q1, {_round_two('b')} AS q3 FROM q), "
+    "o AS (SELECT x.doc_id, v FROM x JOIN f USING (doc_id) "
+    "WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) "
 )
 
 _FORMATS = {
@@ -396,14 +396,15 @@ def all_oracles() -> dict[str, str]:
         "text_route": f"WITH {_NUMBERS} SELECT has_numbers, count(*) AS cnt FROM (SELECT doc_id IN (SELECT doc_id FROM x) "
         "AS has_numbers FROM documents) GROUP BY 1",
         "text_number_stats": _TEXT_STATS,
-        "text_number_outliers": _TEXT_OUTLIERS,
+        "text_number_outliers": _OUTSIDE + "SELECT doc_id, count(*) AS outliers FROM o GROUP BY 1",
+        "text_outlier_values": _OUTSIDE + "SELECT doc_id, v AS outlier FROM o",
         "rollup_hour": _rollup("events", "ts", "hour", "value", 7, with_sum=True),
         "rollup_day": _rollup("events", "ts", "day", "value", 7),
         "rollup_month": _rollup("orders", "o_orderdate", "month", "o_totalprice", 5),
         "rollup_year": _rollup("orders", "o_orderdate", "year", "o_totalprice", 5),
         "rollup_all_measures": _union(
             [
-                f"SELECT 'o_orderdate__{u}' AS rollup, * FROM ({_rollup('orders', 'o_orderdate', u, 'o_totalprice', 5)})"
+                f"SELECT 'l_shipdate__{u}' AS rollup, * FROM ({_rollup('lineitem', 'l_shipdate', u, 'l_quantity', 4, True)})"
                 for u in ("day", "month", "year")
             ]
         ),

@@ -321,15 +321,21 @@ def all_queries() -> dict[str, Query]:
             "documents",
             lambda t: textnumbers.text_number_outliers(t, "doc_id", "text").select("doc_id", "outliers"),
         ),
+        "text_outlier_values": _on(
+            "documents",
+            lambda t: textnumbers.text_number_outliers(t, "doc_id", "text").select(
+                "doc_id", F.explode("outlier_values").alias("outlier")
+            ),
+            None,
+        ),
         # time
         "rollup_hour": _rollup("events", "ts", "hour", ["value"], rollups.MEASURES, 7),
         "rollup_day": _rollup("events", "ts", "day", ["value"], plain, 7),
         "rollup_month": _rollup("orders", "o_orderdate", "month", ["o_totalprice"], plain, 5),
         "rollup_year": _rollup("orders", "o_orderdate", "year", ["o_totalprice"], plain, 5),
         "rollup_all_measures": _on(
-            "orders",
-            lambda t: rollups.all_measures(t, units=("day", "month", "year"), columns=["o_totalprice"], measures=plain),
-            5,
+            "lineitem",
+            lambda t: rollups.all_measures(t, units=("day", "month", "year"), columns=["l_quantity"]),
         ),
         "rollup_sum_day": _on("events", lambda t: rollups.rollup_sum(t, "ts", "day", "user_id")),
         "rollup_all_sums": _on("orders", lambda t: rollups.all_rollups(t), 2),

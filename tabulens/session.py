@@ -25,6 +25,22 @@ def build_session(app: str = "tabulens", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+# Data one shuffle partition should hold, and the bounds of their number.
+SHUFFLE_BYTES = 256 * 1024**2
+LEAST_PARTITIONS, MOST_PARTITIONS = 200, 50_000
+
+
+def size_shuffles(spark: SparkSession, shuffled_bytes: int) -> int:
+    """Start with as many shuffle partitions as the data needs; adaptive execution merges small ones.
+
+    ``shuffled_bytes`` is what the largest shuffle moves: for exact distinct counts and
+    quantiles about the size of the columns looked at.
+    """
+    wanted = min(MOST_PARTITIONS, max(LEAST_PARTITIONS, -(-shuffled_bytes // SHUFFLE_BYTES)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

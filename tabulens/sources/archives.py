@@ -8,15 +8,23 @@ from __future__ import annotations
 import csv
 import io
 import os
+import sys
+import uuid
 import zipfile
 from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The functions below travel to the tasks with their code, so that the package need not be
+# installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Rows handed to Spark at a time.
 BATCH = 4096
 # Text cells may be as long as the reader allows.
@@ -103,8 +111,6 @@ def write_packed(df: DataFrame, folder: str, packing: str) -> DataFrame:
 
     Needed because the built-in writers know neither zip nor the LZ4 frame format.
     """
-    import uuid
-
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         target = f"{folder.rstrip('/')}/part-{uuid.uuid4().hex}.csv.{packing}"
         lines = (line for batch in batches for line in batch.iloc[:, 0])
@@ -118,8 +124,6 @@ def write_packed(df: DataFrame, folder: str, packing: str) -> DataFrame:
                     with archive.open("data.csv", "w", force_zip64=True) as member:
                         _write_lines(member, first, lines)
             else:
-                import pyarrow as pa
-
                 with pa.CompressedOutputStream(sink, packing) as packed:
                     _write_lines(packed, first, lines)
         yield pd.DataFrame({"path": [target]})

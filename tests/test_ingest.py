@@ -183,6 +183,19 @@ def test_two_archives_and_a_ragged_record(spark, tmp_path, rows):
     ]
 
 
+def test_spread_archive(spark, tmp_path, rows):
+    df = read_delimited(spark, pack(tmp_path, "zip"), ["name", "note", "n"], packed=True, partitions=3)
+    assert rows(df, "name", "note", "n") == EXPECTED and df.rdd.getNumPartitions() == 3
+
+
+def test_task_functions_travel_with_their_code():
+    from pyspark import cloudpickle
+
+    from tabulens.sources import archives
+
+    assert b"zipfile" in cloudpickle.dumps(archives.open_member)
+
+
 def test_typing_needs_no_collect_of_rows(spark):
     df = spark.createDataFrame([("1", "2.5")], "a string, b string")
     assert apply_types(df, infer_types(df)).dtypes == [("a", "bigint"), ("b", "double")]
