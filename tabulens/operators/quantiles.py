@@ -96,33 +96,38 @@ def _value_rows(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame
     return df.select(*_cols(keys), F.stack(F.lit(len(columns)), *pairs).alias(_INDEX, "_v"))
 
 
-def _covers_wanted(start: Column, end: Column, total: Column, probabilities: list[float]) -> Column:
+def _position(p: float, total: str) -> str:
+    """SQL text of the zero-based, possibly fractional rank of a quantile."""
+    return f"({p!r}D * ({total} - 1))"
+
+
+def _covers_wanted(start: str, end: str, total: str, probabilities: list[float]) -> Column:
     """Whether ranks [start, end) hold a rank next to one of the quantile positions."""
     tests = []
     for p in probabilities:
-        position = F.lit(p) * (total - 1)
-        tests.append((F.ceil(position) >= start) & (F.floor(position) < end))
-    return reduce(lambda a, b: a | b, tests)
+        position = _position(p, total)
+        tests.append(f"(ceil({position}) >= {start} AND floor({position}) < {end})")
+    return F.expr(" OR ".join(tests))
 
 
-def _neighbours(start: Column, end: Column, total: Column, probabilities: list[float]) -> list[Column]:
+def _neighbours(start: str, end: str, total: str, probabilities: list[float]) -> list[Column]:
     """Per quantile the values on both sides of its position, from rows that cover ranks [start, end)."""
     found = []
     for i, p in enumerate(probabilities):
-        for side, rank in (("low", F.floor(F.lit(p) * (total - 1))), ("high", F.ceil(F.lit(p) * (total - 1)))):
-            covers = (start <= rank) & (rank < end)
-            found.append(F.max(F.when(covers, F.col("_v"))).alias(f"_{side}{i}"))
+        for side, rounding in (("low", "floor"), ("high", "ceil")):
+            rank = f"{rounding}({_position(p, total)})"
+            found.append(F.expr(f"max(CASE WHEN {start} <= {rank} AND {rank} < {end} THEN _v END) AS _{side}{i}"))
     return found
 
 
-def _interpolated(total: Column, probabilities: list[float]) -> Column:
+def _interpolated(total: str, probabilities: list[float]) -> Column:
     """Linear interpolation between the neighbours of every position."""
     quantiles = []
     for i, p in enumerate(probabilities):
-        position, low, high = F.lit(p) * (total - 1), F.col(f"_low{i}"), F.col(f"_high{i}")
-        mixed = (F.ceil(position) - position) * low + (position - F.floor(position)) * high
-        quantiles.append(F.when(low == high, low).otherwise(mixed))
-    return F.when(total > 0, F.array(*quantiles))
+        position, low, high = _position(p, total), f"_low{i}", f"_high{i}"
+        mixed = f"(ceil({position}) - {position}) * {low} + ({position} - floor({position})) * {high}"
+        quantiles.append(f"CASE WHEN {low} = {high} THEN {low} ELSE {mixed} END")
+    return F.expr(f"CASE WHEN {total} > 0 THEN array({', '.join(quantiles)}) END AS q")
 
 
 def _by_ranks(df: DataFrame, columns: list[str], probabilities: list[float], keys: list[str]) -> DataFrame:
@@ -137,13 +142,12 @@ def _by_ranks(df: DataFrame, columns: list[str], probabilities: list[float], key
         F.sum("_copies").over(running).alias("_to"),
         F.sum("_copies").over(whole).alias("_total"),
     )
-    start = F.when(F.col("_copies") > 0, F.col("_to") - F.col("_copies"))
     summary = ranked.groupBy(*_cols(group)).agg(
         F.sum("_copies").alias("cnt"),
         F.min("_v").alias("min"),
         F.max("_v").alias("max"),
         F.sum(F.col("_v") * F.col("_copies")).alias("sum"),
-        *_neighbours(start, F.col("_to"), F.col("_total"), probabilities),
+        *_neighbours("_to - _copies", "_to", "_total", probabilities),
     )
     return summary.select(*_cols(group), *_summary_fields(probabilities))
 
@@ -179,8 +183,8 @@ def _by_brackets(
 
     # Smaller groups stay whole; of the split ones there are at most rows / group_values.
     values = _value_rows(df, columns, keys)
-    below = [(F.col("_v") > F.col("_edges").getItem(i)).cast("long") for i in range(len(points))]
-    bracket = F.coalesce(reduce(lambda a, b: a + b, below), F.lit(0))
+    below = " + ".join(f"CAST(_v > _edges[{i}] AS BIGINT)" for i in range(len(points)))
+    bracket = F.expr(f"coalesce({below}, 0)")
     placed = _null_safe_join(values, edges, group, "left", _is_small(edges, keys)).select(
         *_cols(group), "_v", F.when(F.col("_v").isNotNull(), 1).otherwise(0).alias("_copies"), bracket.alias("_bracket")
     )
@@ -208,8 +212,7 @@ def _rank_in_brackets(placed: DataFrame, group: list[str], probabilities: list[f
     )
     if settle:
         ranged = cut_lineage(ranged)
-    after = F.col("_before") + F.col("_size")
-    holds = (F.col("_size") > 0) & _covers_wanted(F.col("_before"), after, F.col("_total"), probabilities)
+    holds = (F.col("_size") > 0) & _covers_wanted("_before", "_before + _size", "_total", probabilities)
     in_bracket = [*group, "_bracket"]
     wanted = ranged.filter(holds).select(*_cols(in_bracket), "_before", "_total")
 
@@ -228,10 +231,9 @@ def _rank_in_brackets(placed: DataFrame, group: list[str], probabilities: list[f
     end = F.col("_before") + F.sum("_copies").over(running)
     covered = candidates.select(
         *_cols(group), "_v", "_total", (end - F.col("_copies")).alias("_from"), end.alias("_to")
-    ).filter(_covers_wanted(F.col("_from"), F.col("_to"), F.col("_total"), probabilities))
+    ).filter(_covers_wanted("_from", "_to", "_total", probabilities))
 
-    neighbours = _neighbours(F.col("_from"), F.col("_to"), F.col("_total"), probabilities)
-    hits = covered.groupBy(*_cols(group)).agg(*neighbours)
+    hits = covered.groupBy(*_cols(group)).agg(*_neighbours("_from", "_to", "_total", probabilities))
     summary = ranged.groupBy(*_cols(group)).agg(
         F.sum("_size").alias("cnt"), F.min("_min").alias("min"), F.max("_max").alias("max"), F.sum("_sum").alias("sum")
     )
@@ -246,7 +248,7 @@ def _summary_fields(probabilities: list[float]) -> list[Column]:
         F.col("max"),
         (F.col("sum") / F.nullif(F.col("cnt"), F.lit(0))).alias("avg"),
         F.col("sum"),
-        _interpolated(F.col("cnt"), probabilities).alias("q"),
+        _interpolated("cnt", probabilities),
     ]
 
 

@@ -96,8 +96,8 @@ def analyze_header(df: DataFrame, fields: str) -> DataFrame:
 
 
 def survey_files(spark: SparkSession, paths: str | list[str], prefix: bool = True) -> DataFrame:
-    """One row per file: delimiter, header verdict and the normalised column names."""
-    heads = file_heads(spark, paths, HEAD_BYTES)
+    """One row per non-empty file: delimiter, header verdict and the normalised column names."""
+    heads = file_heads(spark, paths, HEAD_BYTES).filter(F.col("head") != "")
     bare = computed(heads, ["path", "is_cut"], head=F.regexp_replace("head", "^\\ufeff", ""))
     lined = computed(bare, ["path", "head"], _lines=_sample_lines(F.col("head"), F.col("is_cut")))
     sniffed = computed(lined, ["path", "head"], delimiter=best_delimiter(F.col("_lines")))

@@ -85,6 +85,7 @@ def test_survey_of_many_files(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     survey = survey_files(spark, str(tmp_path) + "/*.csv", prefix=False)
     found = {r["path"].rsplit("/", 1)[1]: r for r in survey.collect()}
+    assert len(found) == 5  # nothing can be said about an empty file
     assert found["basic.csv"]["headers"] == ["id", "name", "age", "date"] and found["basic.csv"]["has_header"]
     assert found["plain.csv"]["headers"] == ["column_1", "column_2", "column_3", "column_4"]
     assert not found["plain.csv"]["has_header"]
@@ -95,6 +96,12 @@ def test_survey_of_many_files(spark, tmp_path):
         one_dialect(survey)
 
 
+def test_only_empty_files(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    with pytest.raises(ValueError):
+        one_dialect(survey_files(spark, str(tmp_path / "empty.csv")))
+
+
 def test_only_heads_are_read(spark, tmp_path):
     (tmp_path / "big.csv").write_text("x" * 500_000)
     row = file_heads(spark, str(tmp_path / "big.csv"), 1000).first()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import random
+import re
 import statistics
 
 import numpy as np
@@ -224,6 +226,18 @@ def test_extraction(spark):
     assert [k for k, v in routes.items() if v] == [1, 2, 4, 5, 7]
 
 
+def test_extraction_against_a_regular_expression(spark):
+    dice = random.Random(3)
+    texts = ["".join(dice.choice("0123456789..--,,ae \n٣") for _ in range(dice.randrange(60))) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    found = {}
+    for row in textnumbers.extract_numbers(df, "k", "t").collect():
+        found.setdefault(row["k"], []).append(row["num"])
+    for k, text in enumerate(texts):
+        plain = text.replace(",", " ").replace("\n", " ")
+        assert found.get(k, []) == [float(n) for n in re.findall(r"-?\d*\.?\d+", plain, re.ASCII)]
+
+
 def two(x):
     return float(np.sign(x) * np.floor(abs(x) * 100 + 0.5) / 100)
 
