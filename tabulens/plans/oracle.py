@@ -400,8 +400,8 @@ def all_oracles() -> dict[str, str]:
         "text_outlier_values": _OUTSIDE + "SELECT doc_id, v AS outlier FROM o",
         "rollup_hour": _rollup("events", "ts", "hour", "value", 7, with_sum=True),
         "rollup_day": _rollup("events", "ts", "day", "value", 7),
-        "rollup_month": _rollup("orders", "o_orderdate", "month", "o_totalprice", 5),
-        "rollup_year": _rollup("orders", "o_orderdate", "year", "o_totalprice", 5),
+        "rollup_month": _rollup("orders", "o_orderdate", "month", "o_totalprice", 6),
+        "rollup_year": _rollup("orders", "o_orderdate", "year", "o_totalprice", 6),
         "rollup_all_measures": _union(
             [
                 f"SELECT 'l_shipdate__{u}' AS rollup, * FROM ({_rollup('lineitem', 'l_shipdate', u, 'l_quantity', 4, True)})"

@@ -331,8 +331,8 @@ def all_queries() -> dict[str, Query]:
         # time
         "rollup_hour": _rollup("events", "ts", "hour", ["value"], rollups.MEASURES, 7),
         "rollup_day": _rollup("events", "ts", "day", ["value"], plain, 7),
-        "rollup_month": _rollup("orders", "o_orderdate", "month", ["o_totalprice"], plain, 5),
-        "rollup_year": _rollup("orders", "o_orderdate", "year", ["o_totalprice"], plain, 5),
+        "rollup_month": _rollup("orders", "o_orderdate", "month", ["o_totalprice"], plain, 6),
+        "rollup_year": _rollup("orders", "o_orderdate", "year", ["o_totalprice"], plain, 6),
         "rollup_all_measures": _on(
             "lineitem",
             lambda t: rollups.all_measures(t, units=("day", "month", "year"), columns=["l_quantity"]),
