@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabulens.llm import mixing, neardup, packing, quality, secrets, toxicity, warc
+from tabulens.llm import licenses, mixing, neardup, packing, quality, search, secrets, toxicity, warc, wordpieces
 from tabulens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,11 @@ def _op1(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def _op2(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = wordpieces.sentencepiece_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    return wordpieces.token_counts(table(spark, folder, "documents"), vocabulary)
+
+
 def _op3(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
 
@@ -31,6 +37,22 @@ def _op4(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
 
+#: More than the turns of a conversation: both numbers make one id.
+TURNS = 1_000_000
+
+
+def _op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Each turn of every twentieth conversation against all turns of all conversations."""
+    turns = table(spark, folder, "conversations")
+    rows = turns.select((F.col("conv_id") * TURNS + F.col("turn")).alias("id"), "text")
+    queries = rows.where(F.floor(F.col("id") / TURNS) % 20 == 0).withColumnRenamed("id", "query_id")
+    found = search.top_k(rows, queries)
+    return found.select(
+        F.floor(F.col("query_id") / TURNS).alias("query_conv_id"), (F.col("query_id") % TURNS).alias("query_turn"), "rank",
+        F.floor(F.col("id") / TURNS).alias("conv_id"), (F.col("id") % TURNS).alias("turn"), "score",
+    )
+
+
 def _op6(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages"))
 
@@ -43,6 +65,10 @@ def _op8(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def _op9(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def _op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
@@ -50,11 +76,14 @@ def _op10(spark: SparkSession, folder: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_mix": _op1,
+        "op2_token_counts": _op2,
         "op3_secret_scan": _op3,
         "op4_near_duplicates": _op4,
+        "op5_topk_search": _op5,
         "op6_warc": _op6,
         "op7_packing": _op7,
         "op8_toxicity": _op8,
+        "op9_license_scan": _op9,
         "op10_quality": _op10,
     }
 
