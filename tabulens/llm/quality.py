@@ -108,6 +108,8 @@ def votes() -> list[Column]:
 
 def estimate(patterns: list[tuple[int, ...]], counts: list[int], rounds: int = ROUNDS) -> np.ndarray:
     """The posterior probability of good for each vote pattern, by expectation-maximisation."""
+    if not patterns:
+        return np.empty(0)
     v, c = np.array(patterns, float).reshape(len(patterns), -1), np.array(counts, float)
     good, bad = (v > 0).astype(float), (v < 0).astype(float)
     # To begin with: rules are right more often than not, and one bad vote outweighs one good vote.
