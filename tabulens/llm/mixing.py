@@ -29,7 +29,7 @@ BLOCK_WORDS = 4096
 #: A source's target is at most this many times its size.
 MOST_REPEATS = 3
 #: Documents that one task puts in order, about.
-ORDERED_ROWS = 100_000
+ORDERED_ROWS = 4_000
 
 
 def targets(sizes: DataFrame, repeats: int = MOST_REPEATS) -> DataFrame:
