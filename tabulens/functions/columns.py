@@ -55,6 +55,13 @@ def first_numeric_column(df: DataFrame) -> str | None:
     return next(iter(numeric_columns(df)), None)
 
 
+def total(df: DataFrame, name: str) -> Column:
+    """The sum of a column; of integers as decimals, which no number of rows overflows."""
+    values = column(name)
+    whole = isinstance(df.schema[name].dataType, T.IntegralType)
+    return F.sum(values.cast("decimal(20,0)") if whole else values)
+
+
 def has_time(df: DataFrame, name: str) -> bool:
     return not isinstance(df.schema[name].dataType, T.DateType)
 

@@ -93,13 +93,16 @@ def unique_names(names: Column) -> Column:
     """An array of names with later duplicates numbered ``_1``, ``_2`` and so on."""
 
     def add(seen: Column, name: Column) -> Column:
+        # One number more than names that begin so: one of them is free.
+        alike = F.filter(seen, lambda s: s.startswith(F.concat(name, F.lit("_"))))
         numbered = F.transform(
-            F.sequence(F.lit(1), F.size(seen) + 1), lambda i: F.concat(name, F.lit("_"), i.cast("string"))
+            F.sequence(F.lit(1), F.size(alike) + 1), lambda i: F.concat(name, F.lit("_"), i.cast("string"))
         )
         free = F.filter(numbered, lambda n: ~F.array_contains(seen, n))
         return F.array_append(seen, F.when(F.array_contains(seen, name), F.get(free, F.lit(0))).otherwise(name))
 
-    return F.aggregate(names, F.array().cast("array<string>"), add)
+    renamed = F.aggregate(names, F.array().cast("array<string>"), add)
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(renamed)
 
 
 def with_positions(names: Column) -> Column:

@@ -36,6 +36,10 @@ def top_values(
     names = groupable_columns(df) if columns is None else list(columns)
     if not names:
         return df.sparkSession.createDataFrame([], "column_name string, value string, cnt bigint, percentage double")
+    if not names:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, most_frequent string, most_count bigint, most_rare string, rare_count bigint"
+        )
     texts = df.select(*[column(c).cast("string").alias(c) for c in names])
     counts = (
         texts.unpivot([], [column(c) for c in names], "column_name", "value")
@@ -87,6 +91,10 @@ def most_least_common(df: DataFrame, name: str, n: int = 5) -> DataFrame:
 def extreme_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The most frequent value of every column, and the rarest that occurs more than once."""
     names = groupable_columns(df) if columns is None else list(columns)
+    if not names:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, most_frequent string, most_count bigint, most_rare string, rare_count bigint"
+        )
     texts = df.select(*[column(c).cast("string").alias(c) for c in names])
     counts = (
         texts.unpivot([], [column(c) for c in names], "column_name", "value")

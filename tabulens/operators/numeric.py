@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.functions.columns import column, numeric_columns
+from tabulens.functions.columns import column, numeric_columns, total
 from tabulens.operators.quantiles import summarize
 
 # The quantiles of the profile under their output names, and of the drill-down.
@@ -82,5 +82,5 @@ def numeric_detail(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
 
 def group_summary(df: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Rows and rounded sums per combination of the keys."""
-    totals = [F.round(F.sum(column(c)), 2).alias(f"total_{c}") for c in sums]
+    totals = [F.round(total(df, c).cast("double"), 2).alias(f"total_{c}") for c in sums]
     return df.groupBy(*[column(k) for k in keys]).agg(F.count("*").alias("quantity"), *totals)

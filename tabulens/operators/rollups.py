@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.functions.columns import column, date_columns, first_numeric_column, has_time, numeric_columns
+from tabulens.functions.columns import column, date_columns, first_numeric_column, has_time, numeric_columns, total
 from tabulens.functions.datetimes import UNITS, bucket_label, bucket_text, check_unit
 from tabulens.operators.quantiles import summarize
 
@@ -78,7 +78,7 @@ def rollup_sum(
     if name is None:
         raise ValueError("the table has no numeric column")
     rows = _bucketed(df, date, unit, drop_null, [name])
-    totals = rows.groupBy("_bucket").agg(F.count("*").alias("cnt"), F.sum(column(name)).alias("sum_value"))
+    totals = rows.groupBy("_bucket").agg(F.count("*").alias("cnt"), total(df, name).cast("double").alias("sum_value"))
     return totals.select(bucket_text(F.col("_bucket"), unit).alias("date"), "cnt", "sum_value")
 
 
@@ -181,12 +181,12 @@ def all_rollups(
     """
     names = date_columns(df) if dates is None else list(dates)
     number = value or first_numeric_column(df)
-    total = F.sum(column(number)) if number else F.lit(None).cast("double")
+    whole = total(df, number) if number else F.lit(None).cast("double")
     stacked = None
     for name in names:
         units = units_of(df, name)
         fine = df.groupBy(_truncated(name, units[0]).alias("_fine")).agg(
-            F.count("*").alias("cnt"), total.alias("sum_value")
+            F.count("*").alias("cnt"), whole.alias("sum_value")
         )
         each = [
             F.struct(
@@ -199,7 +199,7 @@ def all_rollups(
         coarse = (
             fine.select("cnt", "sum_value", F.inline(F.array(*each)))
             .groupBy("rollup", "_bucket", "datetime")
-            .agg(F.sum("cnt").alias("cnt"), F.sum("sum_value").alias("sum_value"))
+            .agg(F.sum("cnt").alias("cnt"), F.sum("sum_value").cast("double").alias("sum_value"))
             .drop("_bucket")
         )
         stacked = coarse if stacked is None else stacked.unionByName(coarse)

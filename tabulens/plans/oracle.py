@@ -264,7 +264,7 @@ def all_oracles() -> dict[str, str]:
         "describe_table": _rows(
             "name, type", ["('n_name', 'string')", "('n_nationkey', 'int')", "('n_regionkey', 'int')"]
         ),
-        "export_rollups": _all_sums("events", "ts", "user_id", "sum(user_id)::BIGINT"),
+        "export_rollups": _all_sums("events", "ts", "user_id", "sum(user_id)::DOUBLE"),
         "rollup_sorted": f"SELECT {_bucket('ts', 'hour')} AS datetime, count(*) AS cnt, 'info' AS common FROM events GROUP BY 1",
         "row_count": "SELECT count(*) AS cnt FROM events",
         "uniq_counts": _uniq_rows("events", ["event_id", "user_id", "event_type", "value", "props"]),
@@ -408,9 +408,9 @@ def all_oracles() -> dict[str, str]:
                 for u in ("day", "month", "year")
             ]
         ),
-        "rollup_sum_day": f"SELECT {_bucket('ts', 'day')} AS date, count(*) AS cnt, sum(user_id)::BIGINT AS sum_value "
+        "rollup_sum_day": f"SELECT {_bucket('ts', 'day')} AS date, count(*) AS cnt, sum(user_id)::DOUBLE AS sum_value "
         "FROM events GROUP BY 1",
-        "rollup_all_sums": _all_sums("orders", "o_orderdate", "o_orderkey", "sum(o_orderkey)::BIGINT"),
+        "rollup_all_sums": _all_sums("orders", "o_orderdate", "o_orderkey", "sum(o_orderkey)::DOUBLE"),
         "rollup_week": f"SELECT {_bucket('ts', 'week')} AS date, count(*) AS cnt FROM events WHERE ts IS NOT NULL GROUP BY 1",
         "rollup_summary": "WITH r AS (SELECT date_trunc('day', ts) AS d, count(*) AS c FROM events WHERE ts IS NOT NULL GROUP BY 1) "
         "SELECT sum(c)::BIGINT AS total_rows, count(*) AS buckets, strftime(min(d), '%Y-%m-%d') AS first_bucket, "
@@ -422,7 +422,7 @@ def all_oracles() -> dict[str, str]:
         "auto_granularity": f"WITH s AS ({_spans('orders', 'o_orderdate', fine_to_coarse)}) "
         "SELECT unit, n FROM s WHERE n BETWEEN 1 AND 20 ORDER BY rk LIMIT 1",
         "auto_rollup": f"SELECT {_bucket('o_orderdate', 'year')} AS date, count(*) AS cnt, "
-        "sum(o_orderkey)::BIGINT AS sum_value FROM orders GROUP BY 1",
+        "sum(o_orderkey)::DOUBLE AS sum_value FROM orders GROUP BY 1",
         "auto_granularity_pair": f"WITH s AS ({_spans('events', 'ts', coarse_to_fine)}) "
         "SELECT (SELECT unit FROM s WHERE n > 10 ORDER BY rk LIMIT 1) AS coarse_unit, "
         "(SELECT unit FROM s WHERE n <= 10000 ORDER BY rk DESC LIMIT 1) AS fine_unit",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.functions.columns import date_columns, numeric_columns, string_columns
+from tabulens.functions.columns import counted_columns, date_columns, numeric_columns, string_columns
 from tabulens.functions.numbers import short_text
 from tabulens.operators.cardinality import cardinality
 from tabulens.operators.frequency import groupable_columns, top_combos, top_values
@@ -56,7 +56,9 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, exact:
 
 def profile_table(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column, and one for the whole table."""
-    parts = [count_profile(df), distinct_profile(df, exact=exact)]
+    parts = [count_profile(df)]
+    if counted_columns(df):
+        parts.append(distinct_profile(df, exact=exact))
     if numeric_columns(df):
         parts.append(numeric_profile(df, exact=exact))
     merged = merge_profiles(*parts)

@@ -217,7 +217,7 @@ def _export_rollups(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     path = fresh_path(spark, "rollups")
     export.export_rollups(rollups.all_rollups(events, ["ts"], "user_id"), path)
-    return export.read_rollups(spark, path, "cnt bigint, datetime string, sum_value bigint")
+    return export.read_rollups(spark, path, "cnt bigint, datetime string, sum_value double")
 
 
 def all_queries() -> dict[str, Query]:

@@ -27,9 +27,9 @@ def build_session(app: str = "tabulens", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-# Data one shuffle partition should hold, and the bounds of their number.
+# Data one shuffle partition should hold, and the least number of partitions.
 SHUFFLE_BYTES = 256 * 1024**2
-LEAST_PARTITIONS, MOST_PARTITIONS = 200, 50_000
+LEAST_PARTITIONS = 200
 
 
 def size_shuffles(spark: SparkSession, shuffled_bytes: int) -> int:
@@ -38,7 +38,7 @@ def size_shuffles(spark: SparkSession, shuffled_bytes: int) -> int:
     ``shuffled_bytes`` is what the largest shuffle moves: for exact distinct counts and
     quantiles about the size of the columns looked at.
     """
-    wanted = min(MOST_PARTITIONS, max(LEAST_PARTITIONS, -(-shuffled_bytes // SHUFFLE_BYTES)))
+    wanted = max(LEAST_PARTITIONS, -(-shuffled_bytes // SHUFFLE_BYTES))
     spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return wanted
 

@@ -65,17 +65,34 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "length")
 
 
+def _head(stream, head_bytes: int) -> tuple[bytes, bool]:
+    """The first bytes, or the whole first record where that is longer; and whether more follows."""
+    raw, looked, quotes, end = b"", 0, 0, -1
+    while end < 0 or len(raw) <= head_bytes:
+        more = stream.read(1 << 20 if raw else head_bytes + 1)
+        if not more:
+            return raw, False
+        raw += more
+        while end < 0 and (at := raw.find(b"\n", looked)) >= 0:
+            quotes += raw.count(b'"', looked, at)
+            looked = at + 1
+            if quotes % 2 == 0:  # a line break outside quotes ends the record
+                end = at
+    size = max(head_bytes, end + 1)
+    return raw[:size], len(raw) > size
+
+
 def file_heads(spark: SparkSession, paths: str | list[str], head_bytes: int) -> DataFrame:
-    """The first bytes of every (unpacked) file, one row per file, read in the tasks."""
+    """The first bytes of every (unpacked) file, its first record always whole; read in the tasks."""
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, cut = [], []
             for path in batch["path"]:
                 with open_member(path) as stream:
-                    raw = stream.read(head_bytes + 1)
-                texts.append(raw[:head_bytes].decode("utf-8", "ignore"))
-                cut.append(len(raw) > head_bytes)
+                    raw, more = _head(stream, head_bytes)
+                texts.append(raw.decode("utf-8", "ignore"))
+                cut.append(more)
             yield pd.DataFrame({"path": batch["path"], "head": texts, "is_cut": cut})
 
     return list_files(spark, paths).mapInPandas(heads, "path string, head string, is_cut boolean")

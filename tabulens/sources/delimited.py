@@ -17,7 +17,6 @@ from tabulens.sources.files import one_dialect, survey_files
 CORRUPT = "_corrupt"
 # Cells that stand for a missing value, and rows of a sampled inference.
 MISSING_TEXTS = ("", r"\N")
-SAMPLE_ROWS = 50_000
 # Archives that Spark's own reader does not unpack.
 PACKED_PATTERN = r"\.(zip|lz4)$"
 

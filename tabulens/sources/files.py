@@ -1,6 +1,6 @@
 """What kind of delimited files are these? Delimiter, header row and column names per file.
 
-Only the head of each file is read, however many and however large the files are; the
+Only the head and the first record of each file are read, however large the files are; the
 decisions are column expressions over the heads.
 """
 
@@ -27,7 +27,7 @@ DEFAULT_DELIMITER = ","
 SAMPLE_CHARACTERS = 1000
 SAMPLE_LINES = 5
 
-# Bytes read per file; the first record has to fit.
+# Bytes read per file, and the rest of the first record if that is longer.
 HEAD_BYTES = 1 << 16
 
 
@@ -63,8 +63,12 @@ def first_record(head: Column) -> Column:
 
 def fields_of(record: Column, delimiter: Column) -> Column:
     """Fields of one record; delimiters inside quotes do not split."""
+    literal = {d: "\\" + d if d == "|" else d for d in DELIMITERS}
+    quoted = record.contains('"')  # only then does the rest of the record matter to each delimiter
     splits = [
-        F.when(delimiter == d, F.split(record, ("\\" + d if d == "|" else d) + '(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+        F.when((delimiter == d) & ~quoted, F.split(record, literal[d])).when(
+            delimiter == d, F.split(record, literal[d] + '(?=(?:[^"]*"[^"]*")*[^"]*$)')
+        )
         for d in DELIMITERS
     ]
     raw = F.coalesce(*splits)

@@ -103,6 +103,9 @@ def test_only_empty_files(spark, tmp_path):
 
 
 def test_only_heads_are_read(spark, tmp_path):
-    (tmp_path / "big.csv").write_text("x" * 500_000)
+    (tmp_path / "big.csv").write_text("x" * 99 + "\n" + "y" * 500_000)
     row = file_heads(spark, str(tmp_path / "big.csv"), 1000).first()
     assert len(row["head"]) == 1000 and row["is_cut"]
+    (tmp_path / "one.csv").write_text("x" * 500_000)  # a first record is read whole
+    row = file_heads(spark, str(tmp_path / "one.csv"), 1000).first()
+    assert len(row["head"]) == 500_000 and not row["is_cut"]

@@ -45,7 +45,7 @@ def test_shuffle_sizing(spark):
     try:
         assert size_shuffles(spark, 1) == 200
         assert size_shuffles(spark, 10 * 1024**4) == 40960
-        assert size_shuffles(spark, 100 * 1024**4) == 50_000
+        assert size_shuffles(spark, 100 * 1024**4) == 409_600
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
