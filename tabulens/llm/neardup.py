@@ -50,8 +50,8 @@ SIMILARITY = 85
 REMEMBERED = 400_000
 #: Pairs of one hub that one task verifies, about.
 HUB_ROWS = 2_000
-#: Members of a group in one block.
-BLOCK = 512
+#: Members of a group in one block, and their values (8 bytes each), about.
+BLOCK, BLOCK_VALUES = 4_096, 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -218,14 +218,18 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _dealt(groups: DataFrame, roots: DataFrame, data: DataFrame) -> DataFrame:
-    """Groups with several components, in pairs of blocks: (a, i, j, block, c, root, main, and the column of ``data``)."""
-    placed = groups.join(roots, groups["c"] == roots["node"], "left").select("a", "c", F.coalesce("root", "c").alias("root"))
-    sizes = placed.groupBy("a", "root").agg(F.count(F.lit(1)).alias("size"))
+def _dealt(groups: DataFrame, roots: DataFrame, data: DataFrame, values: Column) -> DataFrame:
+    """Groups with several components, in pairs of blocks: (a, i, j, block, c, root, main, and the column of ``data``); ``values``: how many of them a member has."""
+    placed = groups.join(roots, groups["c"] == roots["node"], "left").select("a", "c", values.alias("values"), F.coalesce("root", "c").alias("root"))
+    sizes = placed.groupBy("a", "root").agg(F.count(F.lit(1)).alias("size"), F.sum("values").alias("values"))
     spread = sizes.groupBy("a").agg(
-        F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("members")
+        F.max(F.struct("size", "root"))["root"].alias("main"),
+        F.count(F.lit(1)).alias("parts"),
+        F.sum("size").alias("members"),
+        F.sum("values").alias("values"),
     )
-    spread = spread.where("parts > 1 AND members > 2").select("a", "main", F.ceil(F.col("members") / BLOCK).alias("blocks"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("values") / BLOCK_VALUES))
+    spread = spread.where("parts > 1 AND members > 2").select("a", "main", blocks.alias("blocks"))
     placed = placed.join(spread, "a").withColumn("block", F.pmod(F.xxhash64("c"), "blocks"))
     dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("a", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "c", "root", "main")
@@ -237,10 +241,11 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     lists = cut_lineage(_inverted(classes))
     hubs = lists.groupBy("value").agg(F.max(F.struct("weight", "c")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     hubs = hubs.select("value", F.col("hub.c").alias("a"))
-    groups = cut_lineage(lists.join(hubs, "value").select("a", "c").distinct())
+    groups = lists.join(hubs, "value").select("a", "c").distinct()
+    groups = cut_lineage(groups.join(classes.select("c", "n"), "c"))
     likely = cut_lineage(_likely(groups.where("a <> c").select("a", F.col("c").alias("b")), classes))
 
-    screened = _dealt(groups, components(likely), classes.select("c", "sketch")).mapInArrow(_screen, "c long")
+    screened = _dealt(groups, components(likely), classes.select("c", "sketch"), F.least("n", F.lit(SKETCH))).mapInArrow(_screen, "c long")
     ends = likely.select("a").union(likely.select("b")).union(screened).distinct().toDF("c")
     wanted = cut_lineage(ends.join(classes.select("c", "id", "key"), "c"))
     texts = docs.join(wanted.select(F.col("id").alias("_id")).distinct(), col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
@@ -248,8 +253,8 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     sets = cut_lineage(sets.join(wanted.select("c", "key"), "key").select("c", "hashes"))
 
     found = cut_lineage(_confirmed(likely, sets))
-    close = groups.join(wanted.select("c"), "c", "left_semi").select("a", "c")
-    crossed = _dealt(close, components(found), sets).mapInArrow(_cross, "a long, b long")
+    close = groups.join(wanted.select("c"), "c", "left_semi").select("a", "c", "n")
+    crossed = _dealt(close, components(found), sets, F.col("n")).mapInArrow(_cross, "a long, b long")
     return found.union(crossed)
 
 
