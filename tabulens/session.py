@@ -66,7 +66,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# Shuffle files go when the query that wrote them has ended, not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later branches read the same rows even after a lost executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint: later branches read the same rows even after a lost executor.
+
+    The shuffle files behind it are removed at once, so the rounds of an iteration do not pile up on the disks.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
