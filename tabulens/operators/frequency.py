@@ -31,15 +31,11 @@ def top_values(
 ) -> DataFrame:
     """The ``n`` most (or least) frequent values of every groupable column, in one pass.
 
-    The share is of all rows, NULLs included, and comes from the same grouping.
+    The share is of all rows, NULLs included; they are counted apart, without reading a column.
     """
     names = groupable_columns(df) if columns is None else list(columns)
     if not names:
         return df.sparkSession.createDataFrame([], "column_name string, value string, cnt bigint, percentage double")
-    if not names:
-        return df.sparkSession.createDataFrame(
-            [], "column_name string, most_frequent string, most_count bigint, most_rare string, rare_count bigint"
-        )
     texts = df.select(*[column(c).cast("string").alias(c) for c in names])
     counts = (
         texts.unpivot([], [column(c) for c in names], "column_name", "value")

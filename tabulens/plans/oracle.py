@@ -47,6 +47,9 @@ def _wide_stats(names: list[str]) -> str:
 _PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 _PART_NUMBERS = ["p_partkey", "p_size", "p_retailprice"]
 _PART_TEXTS = ["p_name", "p_brand", "p_type"]
+_LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_EVENT_NUMBERS = ["event_id", "user_id", "value"]
+_ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
 
 _PROFILE_TABLE = _union(
     [
@@ -156,13 +159,10 @@ def _bucket(date: str, unit: str) -> str:
     return f"strftime(date_trunc('{unit}', {date}), '{_FORMATS[unit]}')"
 
 
-def _rollup(table: str, date: str, unit: str, value: str, digits: int, with_sum: bool = False) -> str:
-    total = f", round(sum({value}), {digits}) AS sum__{value}" if with_sum else ""
-    return (
-        f"SELECT {_bucket(date, unit)} AS datetime, count(*) AS cnt, 'info' AS common, round(min({value}), {digits}) AS min__{value}, "
-        f"round(max({value}), {digits}) AS max__{value}, round(median({value}), {digits}) AS median__{value}, "
-        f"round(avg({value}), {digits}) AS avg__{value}{total} FROM {table} GROUP BY 1"
-    )
+def _rollup(table: str, date: str, unit: str, values: list[str], digits: int, with_sum: bool = False, nudge: str = "") -> str:
+    measures = ("min", "max", "median", "avg", *(("sum",) if with_sum else ()))
+    fields = ", ".join(f"round({m}({v})::DOUBLE{nudge}, {digits}) AS {m}__{v}" for v in values for m in measures)
+    return f"SELECT {_bucket(date, unit)} AS datetime, count(*) AS cnt, 'info' AS common, {fields} FROM {table} GROUP BY 1"
 
 
 def _all_sums(table: str, date: str, value: str, total: str) -> str:
@@ -190,7 +190,7 @@ _FENCES = (
     "f AS (SELECT round(q1 - 1.5 * (q3 - q1), 6) AS lo, round(q3 + 1.5 * (q3 - q1), 6) AS hi FROM q) "
 )
 
-_CSV_PART = "SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_size::VARCHAR AS p_size FROM part"
+_CSV_PART = "SELECT " + ", ".join(f"{n}::VARCHAR AS {n}" for n in _PART) + " FROM part"
 
 
 def _rows(columns: str, rows: list[str]) -> str:
@@ -239,7 +239,7 @@ def all_oracles() -> dict[str, str]:
         "csv_header": _rows(
             "table_name, has_header, n_columns",
             ["('customer', TRUE, 5::BIGINT)", "('nation', TRUE, 3)", "('part', TRUE, 6)", "('region', TRUE, 2)",
-             "('supplier', FALSE, 3)"],
+             "('supplier', FALSE, 4)"],
         ),
         "csv_headers_clean": _rows(
             "table_name, headers",
@@ -248,7 +248,7 @@ def all_oracles() -> dict[str, str]:
                 "('nation', '0001_n_nationkey,0002_n_name,0003_n_regionkey')",
                 "('part', '0001_part_key,0002_name_part,0003_brand,0004_tip,0005_size,0006_size_1')",
                 "('region', '0001_r_regionkey,0002_r_name')",
-                "('supplier', '0001_column_1,0002_column_2,0003_column_3')",
+                "('supplier', '0001_column_1,0002_column_2,0003_column_3,0004_column_4')",
             ],
         ),
         "csv_infer_types": _INFERRED,
@@ -258,32 +258,36 @@ def all_oracles() -> dict[str, str]:
         "csv_scan_zip": _CSV_PART,
         "csv_scan_quoted": "SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, role, text FROM conversations",
         "csv_load": 'SELECT row_number() OVER (ORDER BY p_partkey) AS id, p_partkey AS "0001_p_partkey", '
-        'p_name AS "0002_p_name", p_size::BIGINT AS "0003_p_size" FROM part',
+        'p_name AS "0002_p_name", p_brand AS "0003_p_brand", p_type AS "0004_p_type", p_size::BIGINT AS "0005_p_size", '
+        'p_retailprice AS "0006_p_retailprice" FROM part',
         "parse_dates": "SELECT o_orderkey, o_orderdate::DATE AS d FROM orders",
         "parse_moments": "SELECT event_id, 'DateTime64' AS kind, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS canonical FROM events",
         "describe_table": _rows(
             "name, type", ["('n_name', 'string')", "('n_nationkey', 'int')", "('n_regionkey', 'int')"]
         ),
+        "table_size": "SELECT count(*) AS row_count, 6 AS column_count FROM orders",
         "export_rollups": _all_sums("events", "ts", "user_id", "sum(user_id)::DOUBLE"),
         "rollup_sorted": f"SELECT {_bucket('ts', 'hour')} AS datetime, count(*) AS cnt, 'info' AS common FROM events GROUP BY 1",
         "row_count": "SELECT count(*) AS cnt FROM events",
         "uniq_counts": _uniq_rows("events", ["event_id", "user_id", "event_type", "value", "props"]),
-        "uniq_counts_text": _uniq_rows("documents", ["text", "lang", "source", "n_chars"]),
+        "uniq_counts_text": _uniq_rows("documents", ["doc_id", "text", "lang", "source", "n_chars"]),
         "uniq_quantiles": f"SELECT {_q('uniq::DOUBLE', 0.5)} AS med, {_q('uniq::DOUBLE', 0.2)} AS p20, "
-        f"{_q('uniq::DOUBLE', 0.8)} AS p80 FROM ({_uniq_rows('part', ['p_brand', 'p_type', 'p_name'])})",
-        "numeric_stats": f"SELECT {_wide_stats(['value', 'user_id'])} FROM events",
+        f"{_q('uniq::DOUBLE', 0.8)} AS p80 FROM ({_uniq_rows('part', _PART)})",
+        "numeric_stats": f"SELECT {_wide_stats(_EVENT_NUMBERS)} FROM events",
         "numeric_sum": "SELECT "
         + ", ".join(
-            f"round(sum({n}), 2) AS sum__{n}, {_q(n, 0.4, 2)} AS quantile04__{n}, {_q(n, 0.6, 2)} AS quantile06__{n}"
-            for n in ("l_quantity", "l_discount")
+            f"round(sum({n})::DOUBLE, 2) AS sum__{n}, {_q(n, 0.4, 2)} AS quantile04__{n}, {_q(n, 0.6, 2)} AS quantile06__{n}"
+            for n in _LINE_NUMBERS
         )
         + " FROM lineitem",
         "profile_long": _union(
-            [_numeric_row("lineitem", n) for n in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+            [_numeric_row("lineitem", n) for n in _LINE_NUMBERS]
         ),
         "profile_merge": "SELECT 'all' AS column_name, count(*) AS cnt, NULL::BIGINT AS uniq, NULL::DOUBLE AS avg, "
-        "FALSE AS is_numeric FROM part UNION ALL SELECT 'p_brand', NULL, count(DISTINCT p_brand), NULL, FALSE FROM part "
-        "UNION ALL SELECT 'p_size', NULL, count(DISTINCT p_size), round(avg(p_size), 4), TRUE FROM part",
+        "FALSE AS is_numeric FROM part UNION ALL "
+        + _union([f"SELECT '{n}', NULL, count(DISTINCT {n}), NULL, FALSE FROM part" for n in _PART_TEXTS])
+        + " UNION ALL "
+        + _union([f"SELECT '{n}', NULL, count(DISTINCT {n}), round(avg({n}), 4), TRUE FROM part" for n in _PART_NUMBERS]),
         "profile_table": _PROFILE_TABLE,
         "profile_report": _PROFILE_REPORT,
         "column_overview": _union(
@@ -319,10 +323,10 @@ def all_oracles() -> dict[str, str]:
         "rare_values": _top(rare=True, where="cnt > 1"),
         "group_lines": _GATED
         + ", r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS rn FROM g "
-        "WHERE column_name IN ('p_brand', 'p_type')) SELECT column_name, value || ' (' || cnt::VARCHAR || ', ' || "
+        ") SELECT column_name, value || ' (' || cnt::VARCHAR || ', ' || "
         "printf('%.2f', cnt * 100.0::DOUBLE / (SELECT count(*) FROM part)) || '%)' AS line FROM r WHERE rn <= 10",
-        "top_combos": _combos("p_brand, p_type", "cnt DESC"),
-        "rare_combos": _combos("p_brand, p_type", "cnt", "HAVING count(*) > 1"),
+        "top_combos": _combos("p_name, p_brand, p_type", "cnt DESC"),
+        "rare_combos": _combos("p_name, p_brand, p_type", "cnt", "HAVING count(*) > 1"),
         "rare_combos_all": _combos("p_brand, p_type, p_name", "cnt", share=False),
         "category_counts": "SELECT event_type AS category, count(*) AS cnt FROM events "
         "WHERE event_type IS NOT NULL AND event_type <> '' GROUP BY 1 ORDER BY cnt DESC, category LIMIT 20",
@@ -348,7 +352,7 @@ def all_oracles() -> dict[str, str]:
         "numeric_like": _union(
             [
                 _share("events", n, f"{n}::VARCHAR", _NUMBER_TEXT, "numeric_like") + " FROM events"
-                for n in ("user_id", "event_type", "value", "props")
+                for n in ("event_id", "ts", "user_id", "event_type", "value", "props")
             ]
         ),
         "date_like": _union(
@@ -356,8 +360,7 @@ def all_oracles() -> dict[str, str]:
                 _share("orders", n, x, _DATE_TEXT, "date_like") + f", {d} AS all_dates FROM orders"
                 for n, x, d in (
                     ("o_orderdate", "strftime(o_orderdate, '%d/%m/%Y')", "TRUE"),
-                    ("o_orderstatus", "o_orderstatus", "FALSE"),
-                    ("o_orderpriority", "o_orderpriority", "FALSE"),
+                    *((n, f"{n}::VARCHAR", "FALSE") for n in (*_ORDER_NUMBERS, "o_orderstatus", "o_orderpriority")),
                 )
             ]
         ),
@@ -398,13 +401,13 @@ def all_oracles() -> dict[str, str]:
         "text_number_stats": _TEXT_STATS,
         "text_number_outliers": _OUTSIDE + "SELECT doc_id, count(*) AS outliers FROM o GROUP BY 1",
         "text_outlier_values": _OUTSIDE + "SELECT doc_id, v AS outlier FROM o",
-        "rollup_hour": _rollup("events", "ts", "hour", "value", 7, with_sum=True),
-        "rollup_day": _rollup("events", "ts", "day", "value", 7),
-        "rollup_month": _rollup("orders", "o_orderdate", "month", "o_totalprice", 6),
-        "rollup_year": _rollup("orders", "o_orderdate", "year", "o_totalprice", 6),
+        "rollup_hour": _rollup("events", "ts", "hour", _EVENT_NUMBERS, 7, with_sum=True),
+        "rollup_day": _rollup("events", "ts", "day", _EVENT_NUMBERS, 7),
+        "rollup_month": _rollup("orders", "o_orderdate", "month", _ORDER_NUMBERS, 6),
+        "rollup_year": _rollup("orders", "o_orderdate", "year", _ORDER_NUMBERS, 6),
         "rollup_all_measures": _union(
             [
-                f"SELECT 'l_shipdate__{u}' AS rollup, * FROM ({_rollup('lineitem', 'l_shipdate', u, 'l_quantity', 4, True)})"
+                f"SELECT 'l_shipdate__{u}' AS rollup, * FROM ({_rollup('lineitem', 'l_shipdate', u, _LINE_NUMBERS, 4, True, ' + 1e-8')})"
                 for u in ("day", "month", "year")
             ]
         ),
