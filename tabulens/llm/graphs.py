@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         ways = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
         both = current.select(F.inline(ways))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("of")).select(F.col("b").alias("x"), F.col("m").alias("y")).distinct()
+        large = both.where("b > a").join(least, F.col("a") == F.col("of")).select(F.col("b").alias("x"), F.col("m").alias("y"))
         smallest = large.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("of"), "m")
         # Each edge to its node's smallest neighbour stays; the others hang their far end there.
         small = large.join(smallest, F.col("x") == F.col("of")).select(

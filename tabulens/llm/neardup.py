@@ -237,7 +237,7 @@ def _dealt(groups: DataFrame, roots: DataFrame, data: DataFrame, values: Column)
 
 
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes that are similar, enough of them to connect all that are connected."""
+    """(a, b): pairs of classes in one component, enough of them to connect all that confirmed links connect."""
     lists = cut_lineage(_inverted(classes))
     hubs = lists.groupBy("value").agg(F.max(F.struct("weight", "c")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     hubs = hubs.select("value", F.col("hub.c").alias("a"))
@@ -254,8 +254,10 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
     found = cut_lineage(_confirmed(likely, sets))
     close = groups.join(wanted.select("c"), "c", "left_semi").select("a", "c", "n")
-    crossed = _dealt(close, components(found), sets, F.col("n")).mapInArrow(_cross, "a long, b long")
-    return found.union(crossed)
+    roots = components(found)
+    crossed = _dealt(close, roots, sets, F.col("n")).mapInArrow(_cross, "a long, b long")
+    # Each node's link to its root connects what the found pairs connect, so that few rounds are left.
+    return roots.where("node <> root").toDF("a", "b").union(crossed)
 
 
 def classes_of(sketched: DataFrame) -> DataFrame:
