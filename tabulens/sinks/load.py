@@ -47,7 +47,8 @@ def load(
 ) -> DataFrame:
     """Type an all-string DataFrame and (over)write it; gives the loaded rows.
 
-    ``max_length`` cuts texts; by default they are kept whole.
+    Rows flagged in ``_corrupt`` are loaded, but do not take part in the inference of types; the flag is
+    not loaded. ``max_length`` cuts texts; by default they are kept whole.
     """
     typed = apply_types(df, infer_types(df) if types is None else types, max_length)
     if add_id and "id" not in typed.columns:

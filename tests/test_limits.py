@@ -6,6 +6,8 @@ import datetime
 
 from tabulens.operators import frequency, numeric, rollups
 from tabulens.plans import profile
+from tabulens.sinks.load import load
+from tabulens.sources.delimited import read_auto
 from tabulens.sources.files import survey_files
 
 
@@ -32,3 +34,10 @@ def test_tables_without_countable_columns(spark):
     table = spark.createDataFrame([(datetime.date(2024, 1, 1),), (None,)], "day date")
     assert [r["column_name"] for r in profile.profile_table(table).collect()]
     assert frequency.extreme_values(table).collect() == []
+
+
+def test_ragged_rows_do_not_decide_types(spark, tmp_path):
+    (tmp_path / "ragged.csv").write_text("item,amount\n" + "".join(f"thing {i},{i}\n" for i in range(20)) + "4,lost,9\n")
+    loaded = load(read_auto(spark, str(tmp_path / "ragged.csv")))
+    assert dict(loaded.dtypes) == {"id": "bigint", "item": "string", "amount": "bigint"}
+    assert loaded.count() == 21 and loaded.where("amount IS NULL").count() == 1
