@@ -221,6 +221,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _dealt(groups: DataFrame, roots: DataFrame, data: DataFrame, values: Column) -> DataFrame:
     """Groups with several components, in pairs of blocks: (a, i, j, block, c, root, main, and the column of ``data``); ``values``: how many of them a member has."""
     placed = groups.join(roots, groups["c"] == roots["node"], "left").select("a", "c", values.alias("values"), F.coalesce("root", "c").alias("root"))
+    placed = cut_lineage(placed)  # narrow rows, needed twice
     sizes = placed.groupBy("a", "root").agg(F.count(F.lit(1)).alias("size"), F.sum("values").alias("values"))
     spread = sizes.groupBy("a").agg(
         F.max(F.struct("size", "root"))["root"].alias("main"),
@@ -248,7 +249,7 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     screened = _dealt(groups, components(likely), classes.select("c", "sketch"), F.least("n", F.lit(SKETCH))).mapInArrow(_screen, "c long")
     ends = likely.select("a").union(likely.select("b")).union(screened).distinct().toDF("c")
     wanted = cut_lineage(ends.join(classes.select("c", "id", "key"), "c"))
-    texts = docs.join(wanted.select(F.col("id").alias("_id")).distinct(), col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    texts = docs.join(wanted.select(F.col("id").alias("_id")), col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = texts.select("text").mapInArrow(_full_sets, "key binary, hashes array<long>").dropDuplicates(["key"])
     sets = cut_lineage(sets.join(wanted.select("c", "key"), "key").select("c", "hashes"))
 
