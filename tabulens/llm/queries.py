@@ -37,20 +37,11 @@ def _op4(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
 
-#: More than the turns of a conversation: both numbers make one id.
-TURNS = 1_000_000
-
-
 def _op5(spark: SparkSession, folder: str) -> DataFrame:
-    """Each turn of every twentieth conversation against all turns of all conversations."""
-    turns = table(spark, folder, "conversations")
-    rows = turns.select((F.col("conv_id") * TURNS + F.col("turn")).alias("id"), "text")
-    queries = rows.where(F.floor(F.col("id") / TURNS) % 20 == 0).withColumnRenamed("id", "query_id")
-    found = search.top_k(rows, queries)
-    return found.select(
-        F.floor(F.col("query_id") / TURNS).alias("query_conv_id"), (F.col("query_id") % TURNS).alias("query_turn"), "rank",
-        F.floor(F.col("id") / TURNS).alias("conv_id"), (F.col("id") % TURNS).alias("turn"), "score",
-    )
+    """Each document whose doc_id is divisible by 20 against all documents."""
+    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    queries = rows.where(F.col("id") % 20 == 0).withColumnRenamed("id", "query_id")
+    return search.top_k(rows, queries).select(F.col("query_id").alias("query_doc_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
 def _op6(spark: SparkSession, folder: str) -> DataFrame:

@@ -179,6 +179,23 @@ def test_search(spark, docs):
     assert search.top_k(table.limit(0), queries, 5).collect() == []
 
 
+def test_search_of_documents(spark, monkeypatch):
+    """All documents are met by every twentieth one; in small shards and blocks, copies tie in the order of their ids."""
+    from tabulens.llm.queries import llm_queries
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    found = llm_queries()["op5_topk_search"](spark, folder).collect()
+    ids = {r["doc_id"] for r in docs.collect()}
+    assert {r["query_doc_id"] for r in found} == {i for i in ids if i % 20 == 0} and {r["doc_id"] for r in found} <= ids
+    monkeypatch.setattr(search, "SHARD_TERMS", 2_000)
+    monkeypatch.setattr(search, "QUERY_TERMS", 500)
+    assert sorted(found) == sorted(llm_queries()["op5_topk_search"](spark, folder).collect())
+    copies = spark.createDataFrame([(i, f"{BASE} {LONG[:9000]}") for i in range(60)] + [(None, BASE), (99, "word1")], "id long, text string")
+    got = search.top_k(copies, copies.where("id = 40").withColumnRenamed("id", "query_id"), 10).orderBy("rank").collect()
+    assert [r["id"] for r in got] == list(range(10)) and len({r["score"] for r in got}) == 1
+
+
 def test_warc(spark, tmp_path):
     rows = [(3, "u3", "same\r\n\r\nWARC/1.1\r\n"), (1, None, "same\r\n\r\nWARC/1.1\r\n"), (2, "a\r\nb", None), (4, "u", ""), (5, "u", "ünique"), (5, "u", "ünique"), (None, "u", "ünique"), (6, "u", LONG)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record_id string")
