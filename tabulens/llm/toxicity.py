@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -71,7 +72,7 @@ def text_features(text: str | None, lexicon: dict[bytes, float]) -> list[float]:
     found = lexicon.keys() & set(words)
     hits = [i for i, w in enumerate(words) if w in found] if found else []
     second = [i for i, w in enumerate(words) if w in _SECOND] if hits else []
-    near = sum(1 for i in hits if any(abs(i - j) <= NEAR for j in second)) if len(hits) * len(second) < 100_000 else len(hits)
+    near = sum(1 for i in hits if bisect_left(second, i - NEAR) < bisect_right(second, i + NEAR))
     weights = [lexicon[words[i]] for i in hits]
     letters = size - len(raw.translate(None, _LETTERS))
     upper = size - len(raw.translate(None, _UPPER))

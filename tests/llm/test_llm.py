@@ -273,6 +273,16 @@ def test_toxicity(spark, empty):
     assert toxicity.scores(empty, known.limit(0)).collect() == []
 
 
+def test_near_hits_of_long_texts():
+    """Hits next to second-person words are counted one by one, however many there are."""
+    words = ["you", *["n"] * 20] * 400 + ["n", *["vile"]] * 300 + ["vile", "a", "b", "c", "d", "you", "a", "vile"]
+    hits, second = ([i for i, w in enumerate(words) if w == x] for x in ("vile", "you"))
+    near = sum(1 for i in hits if any(abs(i - j) <= toxicity.NEAR for j in second))
+    found = toxicity.text_features(" ".join(words), {b"vile": 2.0})
+    assert len(hits) * len(second) >= 100_000 and 0 < near < 10
+    assert found[5:7] == [near / len(words), near / len(hits)]
+
+
 def test_licenses(docs, empty, spark):
     line = licenses.TEMPLATES["Apache-2.0"]
     rows = [(1, f"the under license {BASE}\n{line}\nmore the"), (2, f"{line}\n{BASE}\n{line}"), (3, BASE), (4, None), (5, "Licensed under the Apache thing")]
