@@ -6,8 +6,16 @@ become unique. Coverage is the share of the template's words that are aligned. A
 reach the threshold for a template if it has that share of the template's words at all, so this
 bag of words decides without loss which templates are aligned.
 
-Each text is aligned in its task: no shuffle, the templates are a fixed list. Lines that repeat an
-earlier line are left out before aligning, so a license that is stated twice has its anchors.
+Beside an anchor, equal words are taken first, and a gap without further anchors gets a longest
+common subsequence of the words near its anchors.
+
+Words of a license that is stated twice, or that a long text uses elsewhere, are not unique. Where
+the alignment of the whole text leaves template words open, each place of the template's rarest
+words serves as the anchor of a window. So many words are taken that a text with the least coverage
+has one of them, and the window with the most aligned words counts if it has more than the whole.
+Positions are those of the words of the whole text.
+
+Each text is aligned in its task: no shuffle, the templates are a fixed list.
 
 Defined results: one row per document and template with ``LEAST_COVERAGE`` or more, and one row
 with NULLs for a document without any; NULL and empty texts have none; NULL and repeated doc_ids
@@ -20,6 +28,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,16 +99,51 @@ def _once(words: list[str], start: int, stop: int) -> dict[str, int]:
     return {words[i]: i for i in range(start, stop) if counts[words[i]] == 1}
 
 
-def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
-    """Aligned positions (text, template), both increasing.
+def _common(own: list[str], template: list[str]) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence; each row of its table is one number, a clear bit is a step."""
+    masks: dict[str, int] = {}
+    for i, word in enumerate(own):
+        masks[word] = masks.get(word, 0) | 1 << i
+    full = (1 << len(own)) - 1
+    row, rows = full, []
+    for word in template:
+        both = row & masks.get(word, 0)
+        row = ((row + both) | (row - both)) & full
+        rows.append(row)
+    pairs, i, j = [], len(own), len(template)
+    while i and j:
+        if rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+            continue
+        j -= 1
+        if not j or rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+            pairs.append((i, j))
+    return pairs[::-1]
+
+
+def align(text: list[str], template: list[str], seed: tuple[int, int] | None = None) -> list[tuple[int, int]]:
+    """Aligned positions (text, template), both increasing; with ``seed``, those of a window around this pair.
 
     Before the first anchor and behind the last one, the text beside them is looked at as far as
-    the template's gap is long: a license stands together.
+    the template's gap is long, twice as far beside a seed: a license stands together.
     """
     pairs: list[tuple[int, int]] = []
-    stack = [(0, len(text), 0, len(template))]
+    # Ranges of both, and whether an aligned pair stands right before and right behind them.
+    stack = [(0, len(text), 0, len(template), False, False)]
+    if seed:
+        i, j = seed
+        pairs.append(seed)
+        rest = len(template) - j - 1
+        stack = [(max(0, i - 2 * j), i, 0, j, False, True), (i + 1, min(len(text), i + 1 + 2 * rest), j + 1, len(template), True, False)]
     while stack:
-        a, b, c, d = stack.pop()
+        a, b, c, d, behind, before = stack.pop()
+        while behind and a < b and c < d and text[a] == template[c]:
+            pairs.append((a, c))
+            a, c = a + 1, c + 1
+        while before and a < b and c < d and text[b - 1] == template[d - 1]:
+            b, d = b - 1, d - 1
+            pairs.append((b, d))
         if a >= b or c >= d:
             continue
         in_template = _once(template, c, d)
@@ -109,25 +153,46 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
         places.sort()
         anchors = [(places[k][1], places[k][0]) for k in _increasing([i for _, i in places])]
         if not anchors:
+            near = 2 * (d - c)
+            left = range(a, min(b, a + near) if behind else a)
+            beside = [*left, *range(max(left.stop, b - near) if before else b, b)]
+            pairs += [(beside[x], c + t) for x, t in _common([text[i] for i in beside], template[c:d])]
             continue
         pairs += anchors
         first, last = anchors[0], anchors[-1]
-        stack.append((max(a, first[0] - (first[1] - c)), first[0], c, first[1]))
-        stack += [(x + 1, y, t + 1, u) for (x, t), (y, u) in zip(anchors, anchors[1:], strict=False)]
-        stack.append((last[0] + 1, min(b, last[0] + 1 + d - last[1] - 1), last[1] + 1, d))
+        start, stop = max(a, first[0] - (first[1] - c)), min(b, last[0] + 1 + d - last[1] - 1)
+        stack.append((start, first[0], c, first[1], behind and start == a, True))
+        stack += [(x + 1, y, t + 1, u, True, True) for (x, t), (y, u) in zip(anchors, anchors[1:], strict=False)]
+        stack.append((last[0] + 1, stop, last[1] + 1, d, True, before and stop == b))
     return sorted(pairs)
 
 
-def _without_repeats(text: str) -> str:
-    lines = text.split("\n")
-    return text if len(set(lines)) == len(lines) else "\n".join(dict.fromkeys(lines))
+def _best_window(text: list[str], template: list[str], there: Counter, least: float) -> list[tuple[int, int]]:
+    """The most aligned words of a window around a rare template word, the first such window."""
+    needed = ceil(least * len(template) - 1e-9)
+    rare = sorted(range(len(template)), key=lambda j: there[template[j]])[: len(template) - needed + 1]
+    wanted: dict[str, list[int]] = {}
+    for j in rare:
+        wanted.setdefault(template[j], []).append(j)
+    times = Counter(template)
+    best: list[tuple[int, int]] = []
+    for i, j in sorted(((i, j) for i, w in enumerate(text) if w in wanted for j in wanted[w]), key=lambda s: (s[0] - s[1], s)):
+        own = Counter(w for w in text[max(0, i - 2 * j) : i + 1 + 2 * (len(template) - j - 1)] if w in times)
+        if sum(min(n, times[w]) for w, n in own.items()) < max(needed, len(best) + 1):
+            continue
+        pairs = align(text, template, (i, j))
+        if len(pairs) > len(best):
+            best = pairs
+        if len(best) == len(template):
+            break
+    return best
 
 
 def licenses_of(text: str | None, templates: dict[str, list[str]], least: float = LEAST_COVERAGE) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, aligned words, first and last aligned word) of each template that the text covers."""
     if not text:
         return []
-    words = license_words(_without_repeats(text))
+    words = license_words(text)
     there = Counter(words)
     found = []
     for name, template in templates.items():
@@ -135,6 +200,8 @@ def licenses_of(text: str | None, templates: dict[str, list[str]], least: float
         if most < least * len(template):
             continue
         pairs = align(words, template)
+        if len(pairs) < len(template):
+            pairs = max(pairs, _best_window(words, template, there, least), key=len)
         if len(pairs) >= least * len(template):
             found.append((name, len(pairs) / len(template), len(pairs), pairs[0][0], pairs[-1][0]))
     return found

@@ -293,6 +293,37 @@ def test_licenses(docs, empty, spark):
     assert pairs == [(1, 0), (2, 1), (4, 2), (5, 4)]
 
 
+def test_licenses_without_unique_words():
+    """Texts that use the words of a license again, with the positions of the whole text."""
+    known = {name: licenses.license_words(t) for name, t in licenses.TEMPLATES.items()}
+    mit, text = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["MIT-text"]
+    found = lambda t: {f[0]: f[1:] for f in licenses.licenses_of(t, known)}
+    assert found(f"Foo. {mit}\n{mit}")["MIT"] == (1.0, 5, 1, 5)
+    assert found(f"same\nsame\n{mit}")["MIT"] == (1.0, 5, 2, 6)
+    assert found(f"{BASE} under the license mit released {BASE} {mit} released mit the license under")["MIT"] == (1.0, 5, 245, 249)
+    size = len(known["MIT-text"])
+    wrapped = text.replace(" software ", "\nsoftware ")
+    assert found(f"a\n{text}\nb\n{wrapped}")["MIT-text"] == (1.0, size, 1, size)
+    edited = text.replace("persons", "people").replace("free of charge", "at no charge")
+    assert found(f"{edited}\n{edited} more")["MIT-text"][0] >= 0.95
+    assert "MIT" not in found("license mit the under released") and "MIT" not in found(f"released under {BASE} the mit license under released")
+    for name, template in licenses.TEMPLATES.items():
+        assert found(f"{template} {LONG} {template}")[name][0] == 1.0
+
+
+def test_common_words():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        a, b = (list(rng.choice(list("abcd"), rng.integers(0, 12))) for _ in range(2))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+        pairs = licenses._common(a, b)
+        assert len(pairs) == table[-1, -1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(x < y and t < u for (x, t), (y, u) in zip(pairs, pairs[1:], strict=False))
+
+
 def test_quality(spark, docs, empty):
     found = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     assert quality.judge(empty).collect() == [] and len(quality.judge(docs).collect()) == 13
