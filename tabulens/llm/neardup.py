@@ -42,8 +42,8 @@ WORDS = 5
 SKETCH = 48
 #: Retained values that two linked sets beyond the sketch's size share at least.
 SHARED = 20
-#: A pair is looked at in full if its sketches estimate at least this similarity; five standard deviations below 0.85.
-ESTIMATE = 0.59
+#: A pair is looked at in full if its sketches estimate at least this similarity: the bound of meeting in a list.
+ESTIMATE = SHARED / SKETCH
 #: Percent of the union.
 SIMILARITY = 85
 #: Words whose hashes a task remembers at once; only speed depends on it.

@@ -148,6 +148,21 @@ def test_near_duplicates_in_groups(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found} == _components(dict(rows))
 
 
+def test_links_far_below_their_estimate(spark):
+    """A copy whose appended words fill much of its sketch: similar, but the sketches share few values."""
+    words = [f"w{i}" for i in range(700)]
+    longer = list(words)
+    for i in range(100):
+        pool = [f"x{i}y{k}" for k in range(80 if i < 25 else 1)]
+        longer.append(min(pool, key=lambda w: neardup.shingle_set(" ".join([*longer[-4:], w]), neardup._Hashes())[0]))
+    rows = [(1, " ".join(words)), (2, " ".join(longer))]
+    a, b = (neardup.shingle_set(t, neardup._Hashes()) for _, t in rows)
+    shared = len(set(a[: neardup.SKETCH]) & set(b[: neardup.SKETCH]))
+    assert neardup.SHARED <= shared <= 28 and len(set(a) & set(b)) >= 0.85 * len(set(a) | set(b))
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in found} == {1}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60) if i % 20] + [(100, 100), (3, 45)]
     found = dict(graphs.components(spark.createDataFrame(edges, "a long, b long")).collect())
