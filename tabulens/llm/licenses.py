@@ -17,6 +17,9 @@ Positions are those of the words of the whole text.
 
 Each text is aligned in its task: no shuffle, the templates are a fixed list.
 
+Close variants of a license (versions, the Creative Commons family)
+differ in less than the least coverage allows: each has its row, and the coverage tells them apart.
+
 Defined results: one row per document and template with ``LEAST_COVERAGE`` or more, and one row
 with NULLs for a document without any; NULL and empty texts have none; NULL and repeated doc_ids
 are rows like any other; an empty table gives an empty result; extra columns are ignored.
@@ -36,12 +39,16 @@ from pyspark.sql import types as T
 
 LEAST_COVERAGE = 0.8
 
-#: License notices as they are published.
-TEMPLATES = {
+#: Fixed values. Lines of one sentence, as the test documents have them; no published texts.
+LINES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+}
+
+#: Short licenses, and the notices that longer ones ask for, as they are published.
+NOTICES = {
     "MIT-text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
@@ -65,8 +72,51 @@ TEMPLATES = {
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
         "version."
     ),
+    "GPL-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later "
+        "version."
+    ),
+    "LGPL-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+        "any later version."
+    ),
+    "AGPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+        "later version."
+    ),
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "BSD-2-Clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution."
+    ),
+    "Unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means."
+    ),
+    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0-notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0-notice": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."
+    ),
+    "CC-BY-NC-ND-4.0-notice": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."
+    ),
 }
 
+TEMPLATES = LINES | NOTICES
+
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
@@ -167,7 +217,7 @@ def align(text: list[str], template: list[str], seed: tuple[int, int] | None = N
     return sorted(pairs)
 
 
-def _best_window(text: list[str], template: list[str], there: Counter, least: float) -> list[tuple[int, int]]:
+def _best_window(text: list[str], template: list[str], there: Counter, least: float, most: int) -> list[tuple[int, int]]:
     """The most aligned words of a window around a rare template word, the first such window."""
     needed = ceil(least * len(template) - 1e-9)
     rare = sorted(range(len(template)), key=lambda j: there[template[j]])[: len(template) - needed + 1]
@@ -183,7 +233,7 @@ def _best_window(text: list[str], template: list[str], there: Counter, least: fl
         pairs = align(text, template, (i, j))
         if len(pairs) > len(best):
             best = pairs
-        if len(best) == len(template):
+        if len(best) == most:  # no window of this text can have more
             break
     return best
 
@@ -196,12 +246,14 @@ def licenses_of(text: str | None, templates: dict[str, list[str]], least: float
     there = Counter(words)
     found = []
     for name, template in templates.items():
+        if len(words) < least * len(template):
+            continue
         most = sum(min(n, there[w]) for w, n in Counter(template).items())
         if most < least * len(template):
             continue
         pairs = align(words, template)
-        if len(pairs) < len(template):
-            pairs = max(pairs, _best_window(words, template, there, least), key=len)
+        if len(pairs) < most:
+            pairs = max(pairs, _best_window(words, template, there, least, most), key=len)
         if len(pairs) >= least * len(template):
             found.append((name, len(pairs) / len(template), len(pairs), pairs[0][0], pairs[-1][0]))
     return found

@@ -326,6 +326,16 @@ def test_licenses_without_unique_words():
         assert found(f"{template} {LONG} {template}")[name][0] == 1.0
 
 
+def test_known_licenses():
+    """Published notices are found, whole, with no variant above them."""
+    known = {name: licenses.license_words(t) for name, t in licenses.TEMPLATES.items()}
+    for name in ("AGPL-3.0-notice", "MPL-2.0-notice", "BSD-2-Clause-text", "CC-BY-SA-4.0-notice", "Unlicense-text", "LGPL-2.1-notice"):
+        found = {f[0]: f[1] for f in licenses.licenses_of(f"{BASE}\n{licenses.TEMPLATES[name]}\n{BASE}", known)}
+        assert found[name] == 1.0
+    for name, line in licenses.LINES.items():
+        assert [f[0] for f in licenses.licenses_of(f"{BASE}\n{line}\n{BASE}", known)] == [name]
+
+
 def test_common_words():
     rng = np.random.default_rng(7)
     for _ in range(300):
