@@ -176,14 +176,15 @@ def mixed_documents(docs: DataFrame, repeats: int = MOST_REPEATS, block_words: i
 
     A document is repeated once for each pass that takes it whole. The one document per source at
     which its words end is cut after the last word taken; ``n_chars`` follows the text.
+    Documents of size 0 are carried along once.
     """
     row = free_name(docs, "_row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     kept = cut_lineage(numbered)
     sized = kept.select(F.col(row).alias("row"), "doc_id", "source", word_count(col("text")).alias("size"))
-    pieces = slices(sized, repeats, block_words).where("position IS NOT NULL")
+    pieces = slices(sized, repeats, block_words).where("position IS NOT NULL OR size = 0")
     turns = pieces.groupBy(F.col("row").alias("_r"), F.col("pass").alias("_pass")).agg(
-        F.sum("words").alias("_words"), F.first("size").alias("_size")
+        F.coalesce(F.sum("words"), F.lit(0)).alias("_words"), F.first("size").alias("_size")
     )
     joined = kept.join(turns, kept[row] == turns["_r"])
     gaps = r"[\x20\x09-\x0D]+"

@@ -48,6 +48,11 @@ def test_mix(docs, empty):
     assert sum(len((r["text"] or "").encode().split()) for r in out.collect()) == sum(r["taken"] for r in found)
 
 
+def test_mix_keeps_documents_without_words(docs):
+    rows = [(r["doc_id"], r["text"]) for r in mixing.mixed_documents(docs).collect()]
+    assert [rows.count(x) for x in ((4, None), (5, ""), (6, " \n\t "))] == [1, 1, 1]
+
+
 def test_schedule_ranks(spark):
     shares = spark.createDataFrame([("a", 57), ("b", 9), (None, 121), ("c", 0)], "source string, words long")
     rows = sorted(mixing.schedule(shares, 2).collect(), key=lambda r: r["position"])
