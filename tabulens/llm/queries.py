@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.llm import licenses, mixing, neardup, packing, quality, search, secrets, toxicity, warc, wordpieces
+from tabulens.llm import licenses, mixing, neardup, packing, quality, search, secrets, substrings, toxicity, warc, wordpieces
 from tabulens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,11 @@ def _op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
 
+def _op11(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.without_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_mix": _op1,
@@ -76,6 +81,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_toxicity": _op8,
         "op9_license_scan": _op9,
         "op10_quality": _op10,
+        "op11_substring_dedup": _op11,
     }
 
 
@@ -187,5 +193,26 @@ FROM d JOIN o USING (payload_digest)
 """
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), i AS (
+  SELECT r, doc_id, w, unnest(range(1, greatest(1, len(w) - 11))) AS i FROM d
+), s AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS words FROM i
+), f AS (
+  SELECT words, min(doc_id) AS first FROM s GROUP BY words
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM s JOIN f USING (words) WHERE first < doc_id
+), p AS (
+  SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), k AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM p ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op1_mix": _OP1, "op3_secret_scan": _op3_sql(), "op4_near_duplicates": _OP4, "op6_warc": _OP6}
+    return {"op1_mix": _OP1, "op3_secret_scan": _op3_sql(), "op4_near_duplicates": _OP4, "op6_warc": _OP6, "op11_substring_dedup": _OP11}
