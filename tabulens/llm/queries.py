@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.llm import licenses, mixing, neardup, packing, quality, search, secrets, substrings, toxicity, warc, wordpieces
+from tabulens.llm import licenses, mixing, neardup, packing, prefixtrie, quality, search, secrets, substrings, toxicity, warc, wordpieces
 from tabulens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,11 @@ def _op11(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _op12(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prefixtrie.rebuilt(prefixtrie.keyed(table(spark, folder, "conversations")))
+    return prefixtrie.prefix_tree(turns).drop("node", "parent")
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_mix": _op1,
@@ -82,6 +87,7 @@ def llm_queries() -> dict[str, Query]:
         "op9_license_scan": _op9,
         "op10_quality": _op10,
         "op11_substring_dedup": _op11,
+        "op12_prefix_trie": _op12,
     }
 
 
@@ -214,5 +220,37 @@ FROM d LEFT JOIN k USING (r)
 """
 
 
+_OP12 = r"""
+WITH o AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), t AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS t FROM o GROUP BY conv_id
+), i AS (
+  SELECT conv_id, t, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, k: xor(y >> 1, (y & 1) * 3988292384))
+  )) % 4 AS h FROM t
+), s AS (
+  SELECT i.conv_id, list_concat(coalesce(b.t[1:h], []), i.t[h + 1:]) AS s FROM i LEFT JOIN t b ON b.conv_id = i.conv_id - i.conv_id % 20
+), u AS (
+  SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM s
+), n AS (
+  SELECT depth, s[1:depth] AS s, min(conv_id) AS conv_id, count(*) AS n_convs FROM u GROUP BY ALL
+), e AS (
+  SELECT s, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM s GROUP BY s
+), m AS (
+  SELECT n.*, coalesce(len(regexp_extract_all(s[depth].text, '[^\x20\x09-\x0D]+')), 0) AS words,
+    (SELECT count(*) FROM n c WHERE c.depth = n.depth + 1 AND c.s[1:n.depth] = n.s) AS n_children
+  FROM n
+), a AS (
+  SELECT m.depth, m.s, m.conv_id, m.n_convs, m.n_children, count(*) FILTER (d.n_children = 0) AS n_leaves, sum((d.n_convs - 1) * d.words) AS saved_tokens
+  FROM m JOIN m d ON d.depth >= m.depth AND d.s[1:m.depth] = m.s GROUP BY ALL
+)
+SELECT a.conv_id, a.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, a.n_convs::BIGINT AS n_convs, a.n_children::BIGINT AS n_children,
+  a.n_leaves::BIGINT AS n_leaves, a.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM a LEFT JOIN n p ON p.depth = a.depth - 1 AND p.s = a.s[1:a.depth - 1] LEFT JOIN e ON e.s = a.s
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op1_mix": _OP1, "op3_secret_scan": _op3_sql(), "op4_near_duplicates": _OP4, "op6_warc": _OP6, "op11_substring_dedup": _OP11}
+    return {"op1_mix": _OP1, "op3_secret_scan": _op3_sql(), "op4_near_duplicates": _OP4, "op6_warc": _OP6, "op11_substring_dedup": _OP11, "op12_prefix_trie": _OP12}
