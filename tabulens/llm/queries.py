@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.llm import licenses, mixing, neardup, packing, prefixtrie, quality, search, secrets, substrings, toxicity, warc, wordpieces
+from tabulens.llm import alignment, licenses, mixing, neardup, packing, prefixtrie, quality, search, secrets, substrings, toxicity, warc, wordpieces
 from tabulens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,10 @@ def _op12(spark: SparkSession, folder: str) -> DataFrame:
     return prefixtrie.prefix_tree(turns).drop("node", "parent")
 
 
+def _op13(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_mix": _op1,
@@ -88,6 +92,7 @@ def llm_queries() -> dict[str, Query]:
         "op10_quality": _op10,
         "op11_substring_dedup": _op11,
         "op12_prefix_trie": _op12,
+        "op13_token_alignment": _op13,
     }
 
 
