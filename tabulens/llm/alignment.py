@@ -20,6 +20,8 @@ are plain text; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +34,13 @@ from tabulens.llm.common import col
 from tabulens.llm.packing import _Encoder
 
 #: Ends of a piece, bytes of text of a block, and blocks whose pairs a shard adds up, about.
-PIECE, BLOCK_BYTES, SHARD_BLOCKS = 1 << 16, 4 << 20, 16
+PIECE, BLOCK_BYTES, SHARD_BLOCKS = 1 << 16, 2 << 20, 32
 #: Texts that are encoded at a time, runs that are remembered, and the longest of them; only speed depends on these.
-TEXTS, REMEMBERED, LONGEST = 128, 150_000, 48
+TEXTS, REMEMBERED, LONGEST = 128, 100_000, 48
 #: Bits of an id.
 BITS = 24
+#: White space before a space: no run may begin at that space.
+SPACED = re.compile(r"[\s\x1c-\x1f\x85] ")
 
 
 class Tokenizers:
@@ -60,13 +64,15 @@ class Tokenizers:
         out = []
         for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
             same = b"".join([self.b_bytes[i] for i in b]) == b" " + text.encode()
-            out.append((np.array(self.a.encode_ordinary(" " + text), "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None)
+            out.append((array("I", self.a.encode_ordinary(" " + text)).tobytes(), array("I", b).tobytes()) if same else None)
         return out
 
     def _split(self, text: str) -> list[str]:
         """The text cut at spaces behind a character that is not white space, without these spaces."""
         if not self._apart:
             return [text]
+        if text[0] != " " and not SPACED.search(text):
+            return text.split(" ")
         runs: list[str] = []
         for part in text.split(" "):
             # A run ends where white space does not: else the next part belongs to it.
@@ -82,15 +88,17 @@ class Tokenizers:
         if len(known) > REMEMBERED:
             known.clear()
         new = list({r for runs in split for r in runs if r not in known})
-        found = dict(zip(new, self._whole(new), strict=True))
+        known.update(zip(new, self._whole(new), strict=True))
         out = []
         for text, runs in zip(texts, split, strict=True):
-            ids = [known[r] if r in known else found[r] for r in runs]
+            ids = [known[r] for r in runs]
             if None in ids:
                 whole = self._whole([text])[0]
                 ids = [] if whole is None else [whole]
-            out.append((np.frombuffer(b"".join([x[0] for x in ids]), "<u4"), np.frombuffer(b"".join([x[1] for x in ids]), "<u4")))
-        known.update((r, ids) for r, ids in found.items() if len(r) <= LONGEST)
+            out.append(tuple(np.frombuffer(b"".join([x[i] for x in ids]), np.uint32) for i in (0, 1)))
+        for run in new:
+            if len(run) > LONGEST:
+                del known[run]
         return out
 
 
@@ -164,6 +172,12 @@ class _Block:
         self.link_a, self.link_b = (ids[(np.cumsum(m) - m)[self.ends]] for ids, m in ((self.a, marks[0]), (self.b, marks[1])))
         self.a_ends, self.b_ends = a_ends[self.a_real], b_ends[self.b_real]
         self.links = np.searchsorted(self.ends, np.append(0, self.stops), "right")  # where each piece's links begin
+        parted = marks[2] & marks[3]
+        parted[self.stops] = True
+        #: Where fragments end, that is groups, or what a piece has of one; and the fragment of each token.
+        self.fragments = np.flatnonzero(parted)
+        of = np.cumsum(parted) - parted
+        self.a_of, self.b_of = of[self.a_ends], of[self.b_ends]
 
     def _side(self, table: pa.Table, ids: str, skip: str, lengths: np.ndarray, sizes: np.ndarray):
         kind = "<u2" if len(lengths) <= 1 << 16 else "<u4"
@@ -188,11 +202,10 @@ class _Block:
     def texts(self, digits: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, np.ndarray, np.ndarray]:
         """Groups as text, `a1,a2|b1;` each, and per fragment where its A and its B part end.
 
-        Fragments are groups, or what a piece has of one; a part of a fragment may be empty.
+        A part of a fragment may be empty.
         """
-        cuts = np.union1d(self.ends[self.cut], self.stops)
-        a_of, b_of = np.searchsorted(cuts, self.a_ends), np.searchsorted(cuts, self.b_ends)
-        a_count, b_count = (np.bincount(x, minlength=len(cuts)) for x in (a_of, b_of))
+        a_of, b_of = self.a_of, self.b_of
+        a_count, b_count = (np.bincount(x, minlength=len(self.fragments)) for x in (a_of, b_of))
         a_stop, b_stop = np.cumsum(a_count), np.cumsum(b_count)
         ids = np.zeros(len(a_of) + len(b_of), np.int64)
         a_at, b_at = np.arange(len(a_of)) + (b_stop - b_count)[a_of], np.arange(len(b_of)) + a_stop[b_of]
@@ -270,8 +283,7 @@ def _aligned(lengths, shards: int, schema: pa.Schema):
         said = np.concatenate([np.empty(0, np.int64), *map(_unplanes, answers)])
         found = said[np.unique(block.pairs(shards), return_inverse=True)[1]]
         text, a_stops, b_stops = block.texts(_digits(max(map(len, lengths))))
-        cuts = np.union1d(block.ends[block.cut], block.stops)
-        bounds = np.searchsorted(cuts, np.append(0, block.stops), "right")  # where each piece's fragments begin
+        bounds = np.searchsorted(block.fragments, np.append(0, block.stops), "right")  # where each piece's fragments begin
         real = [np.diff(np.searchsorted(e, np.append(0, block.stops), "right")) for e in (block.a_ends, block.b_ends)]
         groups = block.sums(block.cut)
         shas, parts, counts = [], [], table.column("pieces").to_pylist()
