@@ -8,10 +8,11 @@ follows ``shard_windows``; so a larger corpus has more blocks and shards, not fu
  2. A shard merges the sketches of all blocks and answers each block which of its cells count
     two or more. The cells overestimate, so every repeated window is among them.
  3. Only windows that all rows of the sketch estimate to be repeated are grouped exactly, by a
-    128-bit digest of their words. A block sends each digest once, with its smallest and its
-    largest doc_id, so a passage that a third of all documents share is one row a block.
- 4. Blocks learn the first document of each window that is repeated in a later document of
-    theirs, and drop the words that such windows cover.
+    128-bit digest of their words. A block sends each digest once, with its first document, so
+    a passage that a third of all documents share is one entry a block.
+ 4. The exact groups answer each block which of its digests an earlier document of another
+    block has. With these and its own first documents a block drops the words that windows of
+    earlier documents cover.
 
 Defined results: a NULL text has no words; texts shorter than a window lose nothing; a row with a
 NULL doc_id loses nothing and takes nothing from others; rows of one doc_id are one document, so
@@ -23,8 +24,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -47,12 +49,6 @@ _BASE, _MIX = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
 _ROWS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-def _distinct(values: np.ndarray) -> np.ndarray:
-    """Ascending; sorting is several times as fast here as ``np.unique``, which hashes."""
-    values = np.sort(values)
-    return values[np.diff(values, prepend=values[:1] + 1) != 0]
-
-
 class _Hasher:
     """64-bit hashes of runs of bytes, each in constant time from running sums over the whole text."""
 
@@ -72,13 +68,6 @@ class _Hasher:
         return mixed ^ (mixed >> np.uint64(29))
 
 
-def _among(each: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Whether each value is one of the ascending known ones."""
-    if not len(known):
-        return np.zeros(len(each), bool)
-    return known[np.minimum(np.searchsorted(known, each), len(known) - 1)] == each
-
-
 class _Words:
     """All words of a block of texts, in one run of bytes, and its windows: where they are, their rows and hashes."""
 
@@ -212,36 +201,91 @@ def _repeated(windows: np.ndarray, answers: pa.Table, shape: _Sketch) -> np.ndar
     return out
 
 
-def _candidates(shape: _Sketch, width: int, schema: pa.Schema):
+def _ranked(values: list) -> np.ndarray:
+    """Numbers in the order of the values; the numbers themselves where the values are whole."""
+    ranks = np.array(values)
+    if ranks.dtype.kind not in "iu":
+        place = {v: i for i, v in enumerate(sorted(set(values)))}
+        ranks = np.array([place[v] for v in values], np.int64)
+    return ranks
+
+
+def _grouped(digests: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct digests in order, the group of each row, and the smallest rank of each group."""
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    ordered = digests[order]
+    begins = np.append(np.ones(min(1, len(ordered)), bool), (ordered[1:] != ordered[:-1]).any(1))
+    group = np.empty(len(ordered), np.int64)
+    group[order] = np.cumsum(begins) - 1
+    least = np.minimum.reduceat(ranks[order], np.flatnonzero(begins)) if len(ordered) else ranks
+    return ordered[begins], group, least
+
+
+class _Likely:
+    """The windows of a block that are estimated to be repeated, by digest, each with its first document in the block."""
+
+    def __init__(self, texts: pa.Table, answers: pa.Table, shape: _Sketch, width: int):
+        self.words, ids = _Words(texts.column("text"), width), texts.column("doc_id").to_pylist()
+        named = np.array([i is not None for i in ids])
+        self.ids, ranks = ids, np.zeros(len(ids), np.int64)
+        ranks[named] = _ranked([i for i in ids if i is not None])
+        usable = np.flatnonzero(named[self.words.row])
+        self.windows = usable[_repeated(self.words.hashes[usable], answers, shape)]
+        rows = self.words.row[self.windows]
+        self.docs = ranks[rows]
+        digests = np.frombuffer(b"".join(self.words.digests(self.windows)), "<u8").reshape(-1, 2)
+        self.digests, self.group, self.first = _grouped(digests, self.docs)
+        self.row = np.zeros(len(self.first), np.int64)
+        self.row[self.group[self.docs == self.first[self.group]]] = rows[self.docs == self.first[self.group]]
+
+    def bounds(self, shards: int) -> np.ndarray:
+        """Where the digests of each shard begin."""
+        shard = ((self.digests[:, 0] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+        return np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+
+
+def _candidates(shape: _Sketch, shards: int, width: int, schema: pa.Schema):
     def candidates(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        """Each window of the block that is estimated to be repeated: its digest, its hash, and the first and last document."""
+        """The digests that are likely repeated, for each shard, with the first document of the block that has them."""
         if not len(texts):
             return schema.empty_table()
-        words, ids = _Words(texts.column("text"), width), texts.column("doc_id")
-        usable = np.flatnonzero(ids.is_valid().to_numpy()[words.row])
-        likely = usable[_repeated(words.hashes[usable], answers, shape)]
-        docs = ids.take(pa.array(words.row[likely]))
-        windows = pa.array(words.hashes[likely].view(np.int64))
-        found = pa.Table.from_arrays([pa.array(words.digests(likely), pa.binary()), windows, docs], ["digest", "window", "doc"])
-        found = found.group_by("digest").aggregate([("window", "min"), ("doc", "min"), ("doc", "max")])
-        block = pa.array([texts.column("block")[0].as_py()] * len(found), pa.int64())
-        return pa.Table.from_arrays([block, *(found.column(n) for n in ("digest", "window_min", "doc_min", "doc_max"))], schema=schema)
+        likely = _Likely(texts, answers, shape, width)
+        bounds = likely.bounds(shards)
+        own = np.flatnonzero(np.diff(bounds)).tolist()
+        parts = [slice(bounds[s], bounds[s + 1]) for s in own]
+        columns = [[texts.column("block")[0].as_py()] * len(own), own, [likely.digests[p].tobytes() for p in parts]]
+        columns.append([[likely.ids[r] for r in likely.row[p].tolist()] for p in parts])
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return candidates
 
 
-def _dropped(width: int, schema: pa.Schema):
-    def drop(texts: pa.Table, repeats: pa.Table) -> pa.Table:
+def _elsewhere(table: pa.Table) -> pa.Table:
+    """Which digests of a block an earlier document of another block has."""
+    parts = [np.frombuffer(x, "<u8").reshape(-1, 2) for x in table.column("digests").to_pylist()]
+    ranks = _ranked(pc.list_flatten(table.column("first")).to_pylist())
+    _, group, least = _grouped(np.concatenate(parts), ranks)
+    earlier = np.split(least[group] < ranks, np.cumsum([len(x) for x in parts])[:-1])
+    columns = [table.column("block"), table.column("shard"), pa.array([-1] * len(parts), pa.int32()), pa.array([np.packbits(x).tobytes() for x in earlier], pa.binary())]
+    return pa.Table.from_arrays(columns, ["block", "shard", "row", "bits"])
+
+
+def _dropped(shape: _Sketch, shards: int, width: int, schema: pa.Schema):
+    def drop(texts: pa.Table, answers: pa.Table) -> pa.Table:
         """The texts without the words of windows that an earlier document has."""
         if not len(texts):
             return schema.empty_table()
-        words, ids = _Words(texts.column("text"), width), texts.column("doc_id").to_pylist()
-        first = dict(zip(repeats.column("digest").to_pylist(), repeats.column("first").to_pylist(), strict=True))
-        hits = np.flatnonzero(_among(words.hashes, _distinct(repeats.column("window").to_numpy().view(np.uint64))))
-        docs = (ids[r] for r in words.row[hits].tolist())
-        earlier = [doc is not None and (f := first.get(d)) is not None and f < doc for doc, d in zip(docs, words.digests(hits), strict=True)]
-        gone = words.covered(hits[np.array(earlier, bool)])
-        removed = np.bincount(words.rows[gone], minlength=len(ids))
+        exact = pc.equal(answers.column("row"), -1)
+        likely = _Likely(texts, answers.filter(pc.invert(exact)), shape, width)
+        words, group = likely.words, likely.group
+        bounds, elsewhere = likely.bounds(shards), np.zeros(len(likely.first), bool)
+        own = answers.filter(exact)
+        for shard, bits in zip(own.column("shard").to_pylist(), own.column("bits").to_pylist(), strict=True):
+            count = bounds[shard + 1] - bounds[shard]
+            elsewhere[bounds[shard] : bounds[shard + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=count)
+        # An earlier document of another block, or one of this block.
+        gone = words.covered(likely.windows[elsewhere[group] | (likely.first[group] < likely.docs)])
+        removed = np.bincount(words.rows[gone], minlength=len(texts))
         bounds, kept = np.append(0, np.cumsum(words.sizes)), words.texts
         for row in np.flatnonzero(removed).tolist():
             own = gone[bounds[row] : bounds[row + 1]].tolist()
@@ -274,11 +318,13 @@ def without_repeats(
     messages = texts.groupBy("block").applyInArrow(_sketched(shape, width), _MESSAGE)
     answers = messages.groupBy("shard", "row").applyInArrow(_merged(shape.cells), _ANSWER)
 
-    found_as = _schema(block="long", digest="binary", window="long", first=kind, last=kind)
-    found = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_candidates(shape, width, to_arrow_schema(found_as)), found_as)
-    same = Window.partitionBy("digest")  # at most one row a block
-    repeats = found.withColumn("first", F.min("first").over(same)).where(F.col("last") > F.col("first"))
-    repeats = repeats.select("block", "digest", "window", "first")
+    found_as = _schema(block="long", shard="integer", digests="binary", first=T.ArrayType(kind))
+    exact_shards = -(-windows // block_windows)
+    found = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _candidates(shape, exact_shards, width, to_arrow_schema(found_as)), found_as
+    )
+    elsewhere = found.groupBy("shard").applyInArrow(_elsewhere, _ANSWER)
 
     out = _schema(doc_id=kind, text="string", n_words="long", n_removed="long")
-    return texts.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(_dropped(width, to_arrow_schema(out)), out)
+    answers = answers.union(elsewhere)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_dropped(shape, exact_shards, width, to_arrow_schema(out)), out)
