@@ -31,10 +31,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def words(text: str | None) -> list[bytes]:
-    """The words of a text as UTF-8; ``bytes.split`` cuts at exactly the six characters that WORD excludes."""
-    return text.encode().split() if text else []
+#: Bytes of texts that a task hands to Python at once, about; a longer text goes by itself.
+BATCH_BYTES = 8 << 20
 
 
-def partitions_of(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands texts to Python in small batches, so that a task's memory does not follow their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

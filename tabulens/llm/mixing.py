@@ -183,15 +183,16 @@ def mixed_documents(docs: DataFrame, repeats: int = MOST_REPEATS, block_words: i
     kept = cut_lineage(numbered)
     sized = kept.select(F.col(row).alias("row"), "doc_id", "source", word_count(col("text")).alias("size"))
     pieces = slices(sized, repeats, block_words).where("position IS NOT NULL OR size = 0")
-    turns = pieces.groupBy(F.col("row").alias("_r"), F.col("pass").alias("_pass")).agg(
-        F.coalesce(F.sum("words"), F.lit(0)).alias("_words"), F.first("size").alias("_size")
+    r, turn, words, size = (free_name(docs, x) for x in ("_r", "_pass", "_words", "_size"))
+    turns = pieces.groupBy(F.col("row").alias(r), F.col("pass").alias(turn)).agg(
+        F.coalesce(F.sum("words"), F.lit(0)).alias(words), F.first("size").alias(size)
     )
-    joined = kept.join(turns, kept[row] == turns["_r"])
+    joined = kept.join(turns, F.col(row) == F.col(r))
     gaps = r"[\x20\x09-\x0D]+"
     leading = F.when(col("text").rlike("^" + gaps), 2).otherwise(1)
-    after = F.element_at(F.split(col("text"), gaps, (F.col("_words") + leading).cast("int")), -1)
+    after = F.element_at(F.split(col("text"), gaps, (F.col(words) + leading).cast("int")), -1)
     cut = F.left(col("text"), F.length(col("text")) - F.length(after))
-    text = F.when(F.col("_words") == F.col("_size"), col("text")).otherwise(cut)
+    text = F.when(F.col(words) == F.col(size), col("text")).otherwise(cut)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.llm.common import col, free_name
+from tabulens.llm.common import WORD, col, free_name, small_batches
 from tabulens.llm.graphs import components
 from tabulens.session import cut_lineage
 
@@ -46,8 +46,8 @@ SHARED = 20
 ESTIMATE = SHARED / SKETCH
 #: Percent of the union.
 SIMILARITY = 85
-#: Words whose hashes a task remembers at once; only speed depends on it.
-REMEMBERED = 400_000
+#: Words whose hashes a task remembers at once, and texts whose sets it holds; only speed depends on these.
+REMEMBERED, TEXTS = 150_000, 256
 #: Pairs of one hub that one task verifies, about.
 HUB_ROWS = 2_000
 #: Members of a group in one block, and their values (8 bytes each), about.
@@ -76,29 +76,30 @@ def shingle_set(text: str | None, hashes: dict) -> np.ndarray:
     for i in range(width):
         mixed = mixed * _MIX + each[i : i + count]
         mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed.view(np.int64))
+    mixed = np.sort(mixed.view(np.int64))  # sorting is several times as fast here as np.unique, which hashes
+    return mixed[np.append(True, mixed[1:] != mixed[:-1])]
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
-    for batch in batches:
-        sets = [shingle_set(x.as_py(), hashes) for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64())),
-            ],
-            ["doc_id", "n", "key", "sketch"],
-        )
+    for whole in batches:
+        for start in range(0, len(whole), TEXTS):  # only the sketches of more texts are held at once
+            batch = whole.slice(start, TEXTS)
+            sizes, keys, sketches = [], [], []
+            for text in batch.column("text"):
+                own = shingle_set(text.as_py(), hashes)
+                sizes.append(len(own))
+                keys.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sketches.append(own[:SKETCH].copy())
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "mark", "n", "key", "sketch"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
-        for start in range(0, len(batch), 256):  # sets are larger than what the next step needs at once
-            sets = [shingle_set(x.as_py(), hashes) for x in batch.column("text").slice(start, 256)]
+        for start in range(0, len(batch), TEXTS):  # sets are larger than what the next step needs at once
+            sets = [shingle_set(x.as_py(), hashes) for x in batch.column("text").slice(start, TEXTS)]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "hashes"])
 
@@ -268,38 +269,53 @@ def classes_of(sketched: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType
+    """(doc_id, mark, n, key, sketch) of every document; mark: a hash of the text as it stands."""
+    small_batches(docs.sparkSession)
     schema = T.StructType(
         [
-            T.StructField("doc_id", kind),
+            T.StructField("doc_id", docs.schema["doc_id"].dataType),
+            T.StructField("mark", T.LongType()),
             T.StructField("n", T.LongType()),
             T.StructField("key", T.BinaryType()),
             T.StructField("sketch", T.ArrayType(T.LongType())),
         ]
     )
-    return docs.select("doc_id", "text").mapInArrow(_sketches, schema)
+    return docs.select(col("doc_id").alias("doc_id"), F.xxhash64(col("text")).alias("mark"), col("text").alias("text")).mapInArrow(_sketches, schema)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, n_shingles, root, component_id) of the documents with words, and (doc_id, n_shingles) of the others."""
     sketched = cut_lineage(sketches(docs))
     classes = classes_of(sketched)
     roots = cut_lineage(components(links(classes, docs.select("doc_id", "text"))))
     ids = classes.join(roots, classes["c"] == roots["node"], "left").select("key", "id", F.coalesce("root", "c").alias("root"))
     ids = cut_lineage(ids)
     least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = ids.join(least, "root").select(F.col("key").alias("_key"), "component_id")
+    named = ids.join(least, "root").select(F.col("key").alias("_key"), "root", "component_id")
     joined = sketched.where("n > 0").join(named, F.col("key") == F.col("_key"))
-    alone = sketched.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
+    return joined.select("doc_id", "mark", F.col("n").alias("n_shingles"), "root", "component_id"), sketched.where("n = 0")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document."""
+    placed, alone = _placed(docs)
+    alone = alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = placed.select("doc_id", "n_shingles", "component_id").union(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; repeated rows of it go too. Documents without words stay."""
-    row = free_name(docs, "_row")
-    result = near_duplicates(docs).where("kept")
-    keep = result.select(F.col("doc_id").alias("_id")).distinct()
-    first = docs.withColumn(row, F.xxhash64(F.lower(col("text"))))
-    kept = first.join(keep, col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", row]).drop(row)
+    """One row of each component: of those with the smallest doc_id (NULL is the largest) the one with the smallest hash of its text.
+
+    Rows without words stay, every one of them.
+    """
+    placed, _ = _placed(docs)
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
+    first = placed.groupBy("root").agg(F.min(rank).alias("first"))
+    own, kept_id, kept_mark = (free_name(docs, x) for x in ("_mark", "_kept_id", "_kept_mark"))
+    keep = first.select(F.col("first.doc_id").alias(kept_id), F.col("first.mark").alias(kept_mark))
+    marked = docs.withColumn(own, F.xxhash64(col("text")))
+    wordy = F.coalesce(col("text").rlike(WORD), F.lit(False))
+    same = col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_mark))
+    kept = marked.where(wordy).join(keep, same, "left_semi").dropDuplicates(["doc_id", own])
+    return kept.unionByName(marked.where(~wordy)).drop(own)

@@ -136,16 +136,17 @@ def _spans(text: Column, number: int, rule: Rule) -> Column:
 
 def with_spans(docs: DataFrame, name: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with the array ``name`` of (start, number of the rule, end), in order."""
-    asked = candidates(docs, rules).select(F.col("doc_id").alias("_candidate"), F.col("rules").alias("_rules"))
-    joined = docs.join(asked, col("doc_id").eqNullSafe(F.col("_candidate")), "left")
+    found_id, found_rules = (free_name(docs, x) for x in ("_candidate", "_found_rules"))
+    asked = candidates(docs, rules).select(F.col("doc_id").alias(found_id), F.col("rules").alias(found_rules))
+    joined = docs.join(asked, col("doc_id").eqNullSafe(F.col(found_id)), "left")
     each = []
     for i, rule in enumerate(rules):
         spans = _spans(col("text"), i, rule)
         if trigram_query(rule.pattern) is not None:
             none = F.array().cast("array<struct<start:bigint,number:int,end:bigint>>")
-            spans = F.when(F.array_contains(F.col("_rules"), i), spans).otherwise(none)
+            spans = F.when(F.array_contains(F.col(found_rules), i), spans).otherwise(none)
         each.append(spans)
-    return joined.withColumn(name, F.array_sort(F.concat(*each))).drop("_candidate", "_rules")
+    return joined.withColumn(name, F.array_sort(F.concat(*each))).drop(found_id, found_rules)
 
 
 def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:

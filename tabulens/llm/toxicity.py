@@ -18,20 +18,21 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from typing import NamedTuple
+from typing import TYPE_CHECKING, NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import col, free_name
+from tabulens.llm.common import col, free_name, small_batches
 from tabulens.session import cut_lineage
 
+if TYPE_CHECKING:
+    from pyspark.ml.classification import GBTClassificationModel
+    from pyspark.ml.regression import IsotonicRegressionModel
+
 #: Labelled rows that are used for fitting, at most.
 SAMPLE = 20_000
 #: Words of the lexicon, at most.
@@ -140,6 +141,12 @@ def learned_lexicon(train: DataFrame, toxic: int, clean: int) -> dict[bytes, flo
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of ``labels.toxic`` from the texts of ``docs``."""
+    # Imported on the driver alone: the tasks that compute features would hold it for as long as they live.
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
+    small_batches(docs.sparkSession)
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
@@ -165,6 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
     """``docs`` with the score under ``name``. A thousandth of the raw score keeps its order within the steps of the calibration."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
     if model.trees is None:
         return docs.withColumn(name, F.lit(float(model.mean)))
     vector, raw, steps = (free_name(docs, x) for x in ("_features", "_raw", "_steps"))
