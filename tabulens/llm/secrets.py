@@ -34,14 +34,15 @@ class Rule(NamedTuple):
     least: int = 1  #: shorter matches are dropped after matching
 
 
-#: The base rules in their order, and after them the added ones.
+#: The base rules in their order, and after them the added ones. A scheme of bounded length and a token that begins
+#: at a word keep the work on long runs of letters in proportion to their length.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]+"),
-    Rule("login_url", r"[a-z][a-z0-9+.]*://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@"),
+    Rule("web_token", r"\beyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]+"),
+    Rule("login_url", r"[a-z][a-z0-9+.]{0,31}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@"),
 )
 
 MOST_ALTERNATIVES = 64

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from tabulens.llm import mixing, neardup, secrets, toxicity
@@ -58,3 +60,13 @@ def test_stages_of_an_empty_table(docs, labels):
     for stage in (neardup.deduplicated, secrets.redact, mixing.mixed_documents, lambda d: toxicity.clean(d, labels)):
         found = stage(none)
         assert found.columns == docs.columns and found.collect() == []
+
+
+def test_long_runs_of_letters_take_linear_time(spark):
+    """A second each or so; in squared time each would take minutes."""
+    texts = [(1, "x:// " + "k" * 400_000), (2, "eyJ" * 150_000 + " eyJ"), (3, "m" * 300_000 + "://user:word@")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    started = time.time()
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    assert time.time() - started < 60
+    assert found == {1: "", 2: "", 3: "login_url:299968:300013"}
