@@ -1,13 +1,12 @@
 """Per-group numeric summaries with exact quantiles that hold for groups of any size.
 
-Three ways to the same long table (keys, column_name, cnt, min, max, avg, sum, q):
+Two ways to the same long table (keys, column_name, cnt, min, max, avg, sum, q):
 
 * ``exact=False``: ``percentile_approx``, one pass.
-* ``exact=True``, no group too large for one sort: values are counted first (map-side, so
-  hot values collapse), then ranked within their group.
-* ``exact=True``, some group too large: a sketch brackets each wanted rank, the values are
-  counted per bracket, and only the brackets that hold a wanted rank are sorted. Whatever
-  the sketch's error, the brackets cover the whole line, so the result is exact.
+* ``exact=True``: values are counted first (map-side, so hot values collapse to one row) and
+  range-partitioned by group and value, so that a large group is many tasks. Runs of
+  ``CELL_ROWS`` neighbouring rows of a partition are cells; their sizes, one row a cell, give the ranks at
+  which every cell begins. Only cells that hold a wanted rank are ranked row by row.
 """
 
 from __future__ import annotations
@@ -21,12 +20,10 @@ from pyspark.sql import functions as F
 from tabulens.functions.columns import column
 from tabulens.session import cut_lineage
 
-# Values of one group that a single task may sort (with spill) in the exact mode.
-GROUP_VALUES = 2_000_000
+# Distinct values that are ranked together.
+CELL_ROWS = 100_000
 # Accuracy of the sketches: the rank error is the group size divided by it.
 ACCURACY = 10_000
-# Rows of a per-group table that may be broadcast (each carries a few dozen doubles).
-BROADCAST_ROWS = 50_000
 
 _INDEX = "_column"
 
@@ -37,7 +34,7 @@ def summarize(
     probabilities: Sequence[float],
     keys: Sequence[str] = (),
     exact: bool = True,
-    group_values: int = GROUP_VALUES,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Long numeric summary: one row per group and column, ``q`` in the order asked for."""
     columns, keys = list(columns), list(keys)
@@ -47,24 +44,13 @@ def summarize(
     narrow = df.select(*[column(k) for k in keys], *[column(c).cast("double").alias(c) for c in columns])
     if not probabilities or not exact:
         return _one_pass(narrow, columns, probabilities, keys)
-    if largest_group(narrow, keys) > group_values:
-        ranked = _by_brackets(narrow, columns, probabilities, keys, group_values)
-    else:
-        ranked = _by_ranks(narrow, columns, probabilities, keys)
+    ranked = _by_cells(placed_values(narrow, columns, keys, cell_rows), [*keys, _INDEX], probabilities)
     names = F.array(*[F.lit(c) for c in columns])
     return ranked.select(
         *_cols(keys), F.get(names, _INDEX).alias("column_name"), "cnt", "min", "max", "avg", "sum", "q"
     )
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group: one small aggregate over the key columns alone."""
-    if not keys:
-        return df.count()
-    sizes = df.groupBy(*_cols(keys)).count()
-    return sizes.agg(F.max("count")).first()[0] or 0
-
-
 def _cols(names: Sequence[str]) -> list[Column]:
     return [column(n) for n in names]
 
@@ -130,115 +116,61 @@ def _interpolated(total: str, probabilities: list[float]) -> Column:
     return F.expr(f"CASE WHEN {total} > 0 THEN array({', '.join(quantiles)}) END AS q")
 
 
-def _by_ranks(df: DataFrame, columns: list[str], probabilities: list[float], keys: list[str]) -> DataFrame:
-    group = [*keys, _INDEX]
-    distinct = _value_rows(df, columns, keys).groupBy(*_cols(group), "_v").agg(F.count("_v").alias("_copies"))
-    whole = Window.partitionBy(*_cols(group))
-    running = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = distinct.select(
-        *_cols(group),
-        "_v",
-        "_copies",
-        F.sum("_copies").over(running).alias("_to"),
-        F.sum("_copies").over(whole).alias("_total"),
-    )
-    summary = ranked.groupBy(*_cols(group)).agg(
-        F.sum("_copies").alias("cnt"),
-        F.min("_v").alias("min"),
-        F.max("_v").alias("max"),
-        F.sum(F.col("_v") * F.col("_copies")).alias("sum"),
-        *_neighbours("_to - _copies", "_to", "_total", probabilities),
-    )
-    return summary.select(*_cols(group), *_summary_fields(probabilities))
-
-
-def _settled(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Compute a per-group table once, so that every later branch sees the same rows.
+def placed_values(df: DataFrame, columns: list[str], keys: list[str], cell_rows: int) -> DataFrame:
+    """The distinct values of each group with their copies, in order over the partitions, and the cell of each.
 
-    Without keys it has one row per column and lives in the plan; otherwise it is checkpointed.
+    Written once: the cells of later branches are those of the same partitions, also after a lost executor.
     """
-    if keys:
-        return cut_lineage(df)
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    group = [*keys, _INDEX]
+    counted = _value_rows(df, columns, keys).groupBy(*_cols(group), "_v").agg(F.count("_v").alias("_copies"))
+    ordered = counted.repartitionByRange(*_cols(group), "_v").sortWithinPartitions(*_cols(group), "_v")
+    # The number of a row has its partition in the upper bits, so no cell spans two.
+    cell = F.floor(F.monotonically_increasing_id() / cell_rows)
+    return cut_lineage(ordered.withColumn("_cell", cell))
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str, small: bool) -> DataFrame:
-    """Join on possibly-NULL keys; the right side is broadcast when its size was checked."""
+def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on possibly-NULL keys."""
     right = right.select(*[column(c).alias(f"_r_{c}" if c in on else c) for c in right.columns])
     condition = reduce(lambda a, b: a & b, [column(c).eqNullSafe(column(f"_r_{c}")) for c in on])
-    return left.join(F.broadcast(right) if small else right, condition, how).drop(*[f"_r_{c}" for c in on])
+    return left.join(right, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
-def _by_brackets(
-    df: DataFrame, columns: list[str], probabilities: list[float], keys: list[str], group_values: int
-) -> DataFrame:
-    """Large groups: brackets around the wanted ranks from a sketch, counted on the raw values."""
-    group = [*keys, _INDEX]
-    slack = 2.0 / ACCURACY
-    points = sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)})
-    sketched = _one_pass(df, columns, points, keys).filter(F.col("cnt") > group_values)
-    index = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column_name")) - 1
-    edges = sketched.select(*_cols(keys), index.cast("int").alias(_INDEX), F.col("q").alias("_edges"))
-    edges = _settled(edges, keys)
-
-    # Smaller groups stay whole; of the split ones there are at most rows / group_values.
-    values = _value_rows(df, columns, keys)
-    below = " + ".join(f"CAST(_v > _edges[{i}] AS BIGINT)" for i in range(len(points)))
-    bracket = F.expr(f"coalesce({below}, 0)")
-    placed = _null_safe_join(values, edges, group, "left", _is_small(edges, keys)).select(
-        *_cols(group), "_v", F.when(F.col("_v").isNotNull(), 1).otherwise(0).alias("_copies"), bracket.alias("_bracket")
-    )
-    return _rank_in_brackets(placed, group, probabilities, settle=bool(keys))
-
-
-def _rank_in_brackets(placed: DataFrame, group: list[str], probabilities: list[float], settle: bool) -> DataFrame:
-    """The summary from values in ordered brackets; only brackets with a wanted rank are sorted.
-
-    ``settle`` says that there may be many groups: what is joined back is then checkpointed
-    and counted before it is broadcast. Otherwise it has a few rows per column.
-    """
-    sizes = placed.groupBy(*_cols(group), "_bracket").agg(
+def _by_cells(placed: DataFrame, group: list[str], probabilities: list[float]) -> DataFrame:
+    """The summary from placed values; only rows of cells with a wanted rank are moved and sorted again."""
+    in_cell = [*group, "_cell"]
+    cells = placed.groupBy(*_cols(in_cell)).agg(
         F.sum("_copies").alias("_size"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
         F.sum(F.col("_v") * F.col("_copies")).alias("_sum"),
     )
-    per_group = Window.partitionBy(*_cols(group))
-    in_order = per_group.orderBy("_bracket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranged = sizes.select(
+    whole = Window.partitionBy(*_cols(group))  # one row a cell
+    in_order = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = cells.select(
         "*",
         (F.sum("_size").over(in_order) - F.col("_size")).alias("_before"),
-        F.sum("_size").over(per_group).alias("_total"),
+        F.sum("_size").over(whole).alias("_total"),
     )
-    if settle:
-        ranged = cut_lineage(ranged)
     holds = (F.col("_size") > 0) & _covers_wanted("_before", "_before + _size", "_total", probabilities)
-    in_bracket = [*group, "_bracket"]
-    wanted = ranged.filter(holds).select(*_cols(in_bracket), "_before", "_total")
-
-    # Distinct values of the wanted brackets, with the ranks each of them covers.
-    few = not settle or wanted.count() <= BROADCAST_ROWS
-    candidates = (
-        _null_safe_join(placed, wanted, in_bracket, "inner", few)
-        .groupBy(*_cols(in_bracket), "_before", "_total", "_v")
-        .agg(F.sum("_copies").alias("_copies"))
-    )
-    running = (
-        Window.partitionBy(*_cols(in_bracket))
-        .orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    end = F.col("_before") + F.sum("_copies").over(running)
-    covered = candidates.select(
-        *_cols(group), "_v", "_total", (end - F.col("_copies")).alias("_from"), end.alias("_to")
-    ).filter(_covers_wanted("_from", "_to", "_total", probabilities))
+    wanted = ranged.filter(holds).select(*_cols(in_cell), "_before", "_total")
 
-    hits = covered.groupBy(*_cols(group)).agg(*_neighbours("_from", "_to", "_total", probabilities))
-    summary = ranged.groupBy(*_cols(group)).agg(
-        F.sum("_size").alias("cnt"), F.min("_min").alias("min"), F.max("_max").alias("max"), F.sum("_sum").alias("sum")
+    running = Window.partitionBy(*_cols(in_cell)).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    candidates = _null_safe_join(placed, wanted, in_cell, "inner")
+    end = F.col("_before") + F.sum("_copies").over(running)
+    covered = candidates.select(*_cols(group), "_v", "_total", (end - F.col("_copies")).alias("_from"), end.alias("_to"))
+    covered = covered.filter(_covers_wanted("_from", "_to", "_total", probabilities))
+
+    # Cells and covered values meet in one aggregate; each kind of row leaves the other's columns empty.
+    both = ranged.drop("_cell", "_before", "_total").unionByName(covered, allowMissingColumns=True)
+    summary = both.groupBy(*_cols(group)).agg(
+        F.sum("_size").alias("cnt"),
+        F.min("_min").alias("min"),
+        F.max("_max").alias("max"),
+        F.sum("_sum").alias("sum"),
+        *_neighbours("_from", "_to", "_total", probabilities),
     )
-    joined = _null_safe_join(summary, hits, group, "left", small=not settle)
-    return joined.select(*_cols(group), *_summary_fields(probabilities))
+    return summary.select(*_cols(group), *_summary_fields(probabilities))
 
 
 def _summary_fields(probabilities: list[float]) -> list[Column]:
@@ -250,8 +182,3 @@ def _summary_fields(probabilities: list[float]) -> list[Column]:
         F.col("sum"),
         _interpolated("cnt", probabilities),
     ]
-
-
-def _is_small(df: DataFrame, keys: list[str]) -> bool:
-    """One row per column without keys; otherwise the checkpointed rows are counted."""
-    return not keys or df.count() <= BROADCAST_ROWS

@@ -1,4 +1,4 @@
-"""Exact quantiles of all three ways against numpy, with hot values, ties, NULL and NaN."""
+"""Exact quantiles against numpy, with hot values, ties, NULL and NaN."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulens.operators import quantiles
 from tabulens.operators.quantiles import summarize
@@ -38,10 +39,10 @@ def grouped(data, at):
     return groups
 
 
-@pytest.mark.parametrize("group_values", [10**9, 100])
-def test_without_keys(spark, data, group_values):
+@pytest.mark.parametrize("cell_rows", [10**6, 100, 7])
+def test_without_keys(spark, data, cell_rows):
     df = spark.createDataFrame(data, "k string, v double, n int").repartition(5)
-    found = {r["column_name"]: r for r in summarize(df, ["v", "n"], POINTS, group_values=group_values).collect()}
+    found = {r["column_name"]: r for r in summarize(df, ["v", "n"], POINTS, cell_rows=cell_rows).collect()}
     for name, at in (("v", 1), ("n", 2)):
         values = [r[at] for r in data if r[at] is not None]
         assert found[name]["cnt"] == len(values)
@@ -51,10 +52,10 @@ def test_without_keys(spark, data, group_values):
         assert found[name]["q"] == pytest.approx(list(reference(values)))
 
 
-@pytest.mark.parametrize("group_values", [10**9, 900, 50])
-def test_with_keys(spark, data, group_values):
+@pytest.mark.parametrize("cell_rows", [10**6, 900, 50])
+def test_with_keys(spark, data, cell_rows):
     df = spark.createDataFrame(data, "k string, v double, n int").repartition(5)
-    found = summarize(df, ["v", "n"], POINTS, ["k"], group_values=group_values).collect()
+    found = summarize(df, ["v", "n"], POINTS, ["k"], cell_rows=cell_rows).collect()
     assert len(found) == 10
     for at, name in ((1, "v"), (2, "n")):
         groups = grouped(data, at)
@@ -64,27 +65,33 @@ def test_with_keys(spark, data, group_values):
             assert row["q"] == pytest.approx(list(reference(values)))
 
 
-@pytest.mark.parametrize("group_values", [10**9, 900])
-def test_counted_join_beyond_the_broadcast_limit(spark, data, monkeypatch, group_values):
-    monkeypatch.setattr(quantiles, "BROADCAST_ROWS", 0)
+def test_rows_of_a_task_are_bounded(spark, data):
+    """A group of a third of all rows is spread over partitions and cells, and its hot value is one row."""
     df = spark.createDataFrame(data, "k string, v double, n int")
-    found = summarize(df, ["v"], [0.5], ["k"], group_values=group_values).collect()
-    groups = grouped(data, 1)
-    assert {r["k"]: r["q"][0] for r in found} == pytest.approx({k: float(np.median(v)) for k, v in groups.items()})
-
-
-@pytest.mark.parametrize("group_values", [10**9, 1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = quantiles.placed_values(df.select("k", "v"), ["v"], ["k"], 100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    cells = placed.groupBy("_cell").count().collect()
+    assert max(r["count"] for r in cells) <= 100 and len(cells) > 20
+    hot = placed.where("k = 'hot'")
+    assert hot.where("_v = 5.0").count() == 1
+    assert hot.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+@pytest.mark.parametrize("cell_rows", [10**6, 1])
 @pytest.mark.parametrize("keys", [[], ["k"]])
-def test_edges(spark, group_values, keys):
+def test_edges(spark, cell_rows, keys):
     one = spark.createDataFrame([("x", 3.5)], "k string, v double")
-    assert summarize(one, ["v"], [0.1, 0.5], keys, group_values=group_values).first()["q"] == [3.5, 3.5]
+    assert summarize(one, ["v"], [0.1, 0.5], keys, cell_rows=cell_rows).first()["q"] == [3.5, 3.5]
     constant = spark.createDataFrame([("x", 2.0)] * 50, "k string, v double")
-    assert summarize(constant, ["v"], [0.3, 0.9], keys, group_values=group_values).first()["q"] == [2.0, 2.0]
+    assert summarize(constant, ["v"], [0.3, 0.9], keys, cell_rows=cell_rows).first()["q"] == [2.0, 2.0]
     missing = spark.createDataFrame([("x", None)] * 3, "k string, v double")
-    row = summarize(missing, ["v"], [0.5], keys, group_values=group_values).first()
+    row = summarize(missing, ["v"], [0.5], keys, cell_rows=cell_rows).first()
     assert row["cnt"] == 0 and row["q"] is None and row["min"] is None
     nan = spark.createDataFrame([("x", v) for v in (1.0, 2.0, math.nan)], "k string, v double")
-    q = summarize(nan, ["v"], [0.5, 1.0], keys, group_values=group_values).first()["q"]
+    q = summarize(nan, ["v"], [0.5, 1.0], keys, cell_rows=cell_rows).first()["q"]
     assert q[0] == 2.0 and math.isnan(q[1])
 
 
@@ -102,10 +109,10 @@ def test_same_for_any_partitioning(spark, data):
     results = [
         sorted(
             (str(r["k"]), r["column_name"], r["cnt"], tuple(r["q"]))
-            for r in summarize(df.repartition(n), ["v", "n"], POINTS, ["k"], group_values=g).collect()
+            for r in summarize(df.repartition(n), ["v", "n"], POINTS, ["k"], cell_rows=g).collect()
         )
         for n in (1, 8)
-        for g in (10**9, 100)
+        for g in (10**6, 100)
     ]
     assert results[0] == results[1] == results[2] == results[3]
 
