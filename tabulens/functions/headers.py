@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,17 +93,21 @@ def clean_header(text: Column, position: Column, is_header: Column) -> Column:
 def unique_names(names: Column) -> Column:
     """An array of names with later duplicates numbered ``_1``, ``_2`` and so on."""
 
-    def add(seen: Column, name: Column) -> Column:
-        # One number more than names that begin so: one of them is free.
-        alike = F.filter(seen, lambda s: s.startswith(F.concat(name, F.lit("_"))))
-        numbered = F.transform(
-            F.sequence(F.lit(1), F.size(alike) + 1), lambda i: F.concat(name, F.lit("_"), i.cast("string"))
-        )
-        free = F.filter(numbered, lambda n: ~F.array_contains(seen, n))
-        return F.array_append(seen, F.when(F.array_contains(seen, name), F.get(free, F.lit(0))).otherwise(name))
-
-    renamed = F.aggregate(names, F.array().cast("array<string>"), add)
-    return F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(renamed)
+    def numbered(lists: pd.Series) -> pd.Series:
+        out = []
+        for own in lists:
+            free: dict[str, None] = {}  # in order
+            last: dict[str, int] = {}
+            for name in own:
+                wanted, number = name, last.get(name, 0)
+                while wanted in free:
+                    number += 1
+                    wanted = f"{name}_{number}"
+                free[wanted], last[name] = None, number
+            out.append(list(free))
+        return pd.Series(out)
+
+    return F.pandas_udf(numbered, "array<string>")(names)
 
 
 def with_positions(names: Column) -> Column:

@@ -11,7 +11,7 @@ import os
 import sys
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 
 import pandas as pd
@@ -21,12 +21,16 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulens.sources.quotes import is_open_after, record_end, split_record
+
 # The functions below travel to the tasks with their code, so that the package need not be
 # installed on the executors.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Rows handed to Spark at a time.
 BATCH = 4096
+# Longest first record that is looked for in a head.
+RECORD_BYTES = 16 << 20
 # Text cells may be as long as the reader allows.
 CELL_BYTES = 2**31 - 1
 
@@ -65,37 +69,41 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "length")
 
 
-def _head(stream, head_bytes: int) -> tuple[bytes, bool]:
-    """The first bytes, or the whole first record where that is longer; and whether more follows."""
-    raw, looked, quotes, end = b"", 0, 0, -1
-    while end < 0 or len(raw) <= head_bytes:
-        more = stream.read(1 << 20 if raw else head_bytes + 1)
-        if not more:
-            return raw, False
-        raw += more
-        while end < 0 and (at := raw.find(b"\n", looked)) >= 0:
-            quotes += raw.count(b'"', looked, at)
-            looked = at + 1
-            if quotes % 2 == 0:  # a line break outside quotes ends the record
-                end = at
-    size = max(head_bytes, end + 1)
-    return raw[:size], len(raw) > size
-
+def _head(stream, head_bytes: int, delimiters: Sequence[str]) -> tuple[str, bool, list[list[str]]]:
+    """The first bytes, or the whole first record where that is longer; whether more follows; and the record's fields by delimiter.
 
-def file_heads(spark: SparkSession, paths: str | list[str], head_bytes: int) -> DataFrame:
-    """The first bytes of every (unpacked) file, its first record always whole; read in the tasks."""
+    A quote that is still open at the end of the file or after ``RECORD_BYTES`` is a stray one: then the first line is the record.
+    """
+    raw, wanted, more = b"", head_bytes + 1, True
+    while True:
+        part = stream.read(wanted - len(raw))
+        raw, more = raw + part, len(part) == wanted - len(raw)
+        text = raw.decode("utf-8", "ignore").removeprefix("\ufeff")
+        ends = [record_end(text, d) for d in delimiters]
+        if min(ends) >= 0 or not more or len(raw) > RECORD_BYTES:
+            break
+        wanted = min(4 * wanted, RECORD_BYTES + 1)
+    for i, delimiter in enumerate(delimiters):
+        if ends[i] < 0:  # the file ends with its first record, or a quote stays open
+            line = text.find("\n")
+            ends[i] = line if line >= 0 and is_open_after(text, False, delimiter) else len(text)
+    size = max(head_bytes, len(text[: max(ends, default=0) + 1].encode()))
+    fields = [split_record(text[:e].removesuffix("\r"), d) for e, d in zip(ends, delimiters, strict=True)]
+    return raw[:size].decode("utf-8", "ignore"), more or len(raw) > size, fields
+
+
+def file_heads(spark: SparkSession, paths: str | list[str], head_bytes: int, delimiters: Sequence[str] = (",",)) -> DataFrame:
+    """The first bytes of every (unpacked) file and the fields of its first record for each delimiter; read in the tasks."""
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, cut = [], []
+            found = []
             for path in batch["path"]:
                 with open_member(path) as stream:
-                    raw, more = _head(stream, head_bytes)
-                texts.append(raw.decode("utf-8", "ignore"))
-                cut.append(more)
-            yield pd.DataFrame({"path": batch["path"], "head": texts, "is_cut": cut})
+                    found.append((path, *_head(stream, head_bytes, delimiters)))
+            yield pd.DataFrame(found, columns=["path", "head", "is_cut", "fields"])
 
-    return list_files(spark, paths).mapInPandas(heads, "path string, head string, is_cut boolean")
+    return list_files(spark, paths).mapInPandas(heads, "path string, head string, is_cut boolean, fields array<array<string>>")
 
 
 def packed_records(spark: SparkSession, paths: str | list[str], delimiter: str, header: bool) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 from tabulens.functions.columns import column, computed
 from tabulens.functions.datetimes import is_date_text, parse_moment
 from tabulens.functions.numbers import is_float_text, is_long_text, to_double, to_long
+from tabulens.session import cut_lineage
 from tabulens.sources.archives import as_columns, list_files, packed_records
 from tabulens.sources.files import one_dialect, survey_files
+from tabulens.sources.quotes import quoted_records, range_states
 
 CORRUPT = "_corrupt"
 # Cells that stand for a missing value, and rows of a sampled inference.
@@ -67,14 +69,36 @@ def read_delimited(
     return rows.select(*cells, column(CORRUPT))
 
 
+def read_quoted(
+    spark: SparkSession, paths: str | Sequence[str], names: Sequence[str], delimiter: str, header: bool, states: DataFrame
+) -> DataFrame:
+    """As ``read_delimited``, with line breaks inside quotes, and still several tasks a file; ``states`` as ``range_states`` gives them."""
+    records = quoted_records(spark, paths, delimiter, header, states)
+    schema = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in [*names, CORRUPT])
+    options = {
+        "sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
+        "ignoreLeadingWhiteSpace": "true", "maxCharsPerColumn": "-1", "maxColumns": str(max(20_480, 2 * len(names))),
+    }
+    rows = records.select(F.from_csv("record", schema, options).alias("r")).select("r.*")
+    return rows.select(*[F.nullif(column(n), F.lit("")).alias(n) for n in names], column(CORRUPT))
+
+
 def read_auto(
     spark: SparkSession, paths: str | Sequence[str], prefix: bool = False, multi_line: bool = False
 ) -> DataFrame:
-    """Files of one unknown dialect: sniff the heads, then read everything."""
+    """Files of one unknown dialect: sniff the heads, then read everything.
+
+    Line breaks inside quotes are kept. One pass over the lines with quotes tells whether there are any;
+    ``multi_line`` leaves it to Spark's reader instead, one task a file.
+    """
     paths = paths if isinstance(paths, str) else list(paths)
     survey = survey_files(spark, paths, prefix)
     delimiter, header, names = one_dialect(survey)
     packed = not list_files(spark, paths).filter(F.lower("path").rlike(PACKED_PATTERN)).isEmpty()
+    if not packed and not multi_line:
+        states = cut_lineage(range_states(spark, paths, delimiter))
+        if not states.where("spans").isEmpty():
+            return read_quoted(spark, paths, names, delimiter, header, states)
     return read_delimited(spark, paths, names, delimiter, header, multi_line, packed)
 
 

@@ -56,31 +56,6 @@ def best_delimiter(lines: Column) -> Column:
     return F.when(best["score"] > 0, best["d"]).otherwise(DEFAULT_DELIMITER)
 
 
-def first_record(head: Column) -> Column:
-    """Everything before the first line break outside quotes."""
-    return F.rtrim(F.regexp_extract(head, '^((?:[^"\n]++|"[^"]*+"?)*+)', 1), F.lit("\r"))
-
-
-def fields_of(record: Column, delimiter: Column) -> Column:
-    """Fields of one record; delimiters inside quotes do not split."""
-    literal = {d: "\\" + d if d == "|" else d for d in DELIMITERS}
-    quoted = record.contains('"')  # only then does the rest of the record matter to each delimiter
-    splits = [
-        F.when((delimiter == d) & ~quoted, F.split(record, literal[d])).when(
-            delimiter == d, F.split(record, literal[d] + '(?=(?:[^"]*"[^"]*")*[^"]*$)')
-        )
-        for d in DELIMITERS
-    ]
-    raw = F.coalesce(*splits)
-
-    def unquoted(field: Column) -> Column:
-        bare = F.ltrim(field)
-        inner = F.regexp_extract(bare, '(?s)^"(.*)"\\s*$', 1)
-        return F.when(bare.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(bare)
-
-    return F.transform(raw, unquoted)
-
-
 def analyze_header(df: DataFrame, fields: str) -> DataFrame:
     """Adds the share of header-like fields, the verdict, and the column names of a first record."""
     likes = F.transform(fields, is_likely_header)
@@ -101,13 +76,12 @@ def analyze_header(df: DataFrame, fields: str) -> DataFrame:
 
 def survey_files(spark: SparkSession, paths: str | list[str], prefix: bool = True) -> DataFrame:
     """One row per non-empty file: delimiter, header verdict and the normalised column names."""
-    heads = file_heads(spark, paths, HEAD_BYTES).filter(F.col("head") != "")
-    bare = computed(heads, ["path", "is_cut"], head=F.regexp_replace("head", "^\\ufeff", ""))
-    lined = computed(bare, ["path", "head"], _lines=_sample_lines(F.col("head"), F.col("is_cut")))
-    sniffed = computed(lined, ["path", "head"], delimiter=best_delimiter(F.col("_lines")))
-    split = computed(
-        sniffed, ["path", "delimiter"], fields=fields_of(first_record(F.col("head")), F.col("delimiter"))
-    )
+    heads = file_heads(spark, paths, HEAD_BYTES, DELIMITERS).filter(F.col("head") != "")
+    bare = computed(heads, ["path", "is_cut", "fields"], head=F.regexp_replace("head", "^\\ufeff", ""))
+    lined = computed(bare, ["path", "fields"], _lines=_sample_lines(F.col("head"), F.col("is_cut")))
+    sniffed = computed(lined, ["path", "fields"], delimiter=best_delimiter(F.col("_lines")))
+    place = F.array_position(F.array(*[F.lit(d) for d in DELIMITERS]), F.col("delimiter")).cast("int")
+    split = sniffed.select("path", "delimiter", F.element_at("fields", place).alias("fields"))
     named = analyze_header(split, "fields")
     headers = with_positions(F.col("headers")) if prefix else F.col("headers")
     return named.select(
