@@ -31,7 +31,7 @@ def text_key(df: DataFrame, name: str) -> Column:
     return F.when(long, digest).otherwise(text)
 
 
-def _sketch(df: DataFrame, name: str) -> Column:
+def distinct_sketch(df: DataFrame, name: str) -> Column:
     """HyperLogLog sketch over hashes, so that every type is sketched alike."""
     value = column(name)
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
@@ -48,7 +48,7 @@ def cardinality(
         raise ValueError("no column to count")
     if not exact:
         counts = [
-            F.struct(F.lit(n).alias("column_name"), F.hll_sketch_estimate(_sketch(df, n)).alias("uniq")) for n in names
+            F.struct(F.lit(n).alias("column_name"), F.hll_sketch_estimate(distinct_sketch(df, n)).alias("uniq")) for n in names
         ]
         return df.agg(F.array(*counts).alias("_rows")).select(F.inline("_rows"))
     keys = df.select(*[text_key(df, n).alias(n) for n in names])

@@ -117,12 +117,17 @@ def _bin_of(value: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 
 def _counted_bins(df: DataFrame, name: str, lo: Column, hi: Column, bins: int) -> DataFrame:
+    """Every bin between two literal borders, also empty ones; one bin where the borders are equal, none without borders."""
     value = column(name).cast("double")
     inside = df.filter((value >= lo) & (value <= hi))
-    heights = inside.groupBy(_bin_of(value, lo, hi, bins).alias("bin")).agg(F.count("*").alias("height"))
+    heights = inside.groupBy(_bin_of(value, lo, hi, bins).alias("bin")).agg(F.count("*").alias("_height"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).filter((lo < hi) | ((lo == hi) & (F.col("bin") == 0)))
     width = (hi - lo) / bins
     start = lo + F.col("bin") * width
-    return heights.select("bin", start.alias("range_start"), (start + width).alias("range_end"), "height")
+    height = F.coalesce("_height", F.lit(0)).cast("long")
+    return every.join(heights, "bin", "left").select(
+        "bin", start.alias("range_start"), (start + width).alias("range_end"), height.alias("height")
+    )
 
 
 def equal_width_histogram(

@@ -221,9 +221,17 @@ def _share(table: str, name: str, text: str, pattern: str, alias: str) -> str:
 _NUMBER_TEXT = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
 _DATE_TEXT = r"(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}:\d{2})"
 
-_LIST_HISTOGRAM = (
-    "WITH h AS (SELECT least(floor((value - 1) / 199.0::DOUBLE * 10), 9)::INT AS bin, count(*) AS height FROM events "
-    "WHERE value BETWEEN 1 AND 200 GROUP BY 1) "
+def _every_bin(bins: int, filled: str) -> str:
+    """All bins with their heights, from those that are filled."""
+    return (
+        f"SELECT b.bin::INT AS bin, coalesce(f.height, 0)::BIGINT AS height FROM range({bins}) b(bin) LEFT JOIN ({filled}) f ON f.bin = b.bin"
+    )
+
+
+_LIST_HISTOGRAM = _every_bin(
+    10,
+    "SELECT least(floor((value - 1) / 199.0::DOUBLE * 10), 9)::INT AS bin, count(*) AS height FROM events "
+    "WHERE value BETWEEN 1 AND 200 GROUP BY 1",
 )
 
 
@@ -252,6 +260,7 @@ def all_oracles() -> dict[str, str]:
             ],
         ),
         "csv_infer_types": _INFERRED,
+        "csv_infer_sample": f"SELECT column_name, type FROM ({_INFERRED}) WHERE table_name = 'orders'",
         "csv_scan": _CSV_PART,
         "csv_scan_gz": _CSV_PART,
         "csv_scan_lz4": _CSV_PART,
@@ -384,16 +393,23 @@ def all_oracles() -> dict[str, str]:
         "r AS (SELECT round(b[i], 6) AS range_start, round(b[i+1], 6) AS range_end FROM q, range(1, 7) t(i)) "
         "SELECT range_start, range_end, count(value) AS cnt FROM r LEFT JOIN events "
         "ON value >= range_start AND value <= range_end GROUP BY 1, 2",
-        "range_histogram": "SELECT least(floor((value - 1) / 99.0::DOUBLE * 10), 9)::INT AS bin, count(*) AS height "
-        "FROM events WHERE value BETWEEN 1 AND 100 GROUP BY 1",
-        "central_histogram": "WITH q AS (SELECT round(quantile_cont(value, 0.4), 6) AS lo, "
-        "round(quantile_cont(value, 0.6), 6) AS hi FROM events) SELECT least(floor((value - lo) / (hi - lo) * 100), 99)::INT "
-        "AS bin, count(*) AS height FROM events, q WHERE value BETWEEN lo AND hi GROUP BY 1",
-        "density": "WITH h AS (SELECT least(floor(l_quantity / 50.0::DOUBLE * 10), 9)::INT AS bin, count(*) AS height "
-        "FROM lineitem GROUP BY 1) SELECT bin, round(height::DOUBLE / (sum(height) OVER ()::DOUBLE * 5.0::DOUBLE), 6) "
+        "range_histogram": _every_bin(
+            10,
+            "SELECT least(floor((value - 1) / 99.0::DOUBLE * 10), 9)::INT AS bin, count(*) AS height "
+            "FROM events WHERE value BETWEEN 1 AND 100 GROUP BY 1",
+        ),
+        "central_histogram": _every_bin(
+            100,
+            "SELECT least(floor((value - lo) / (hi - lo) * 100), 99)::INT AS bin, count(*) AS height FROM events, "
+            "(SELECT round(quantile_cont(value, 0.4), 6) AS lo, round(quantile_cont(value, 0.6), 6) AS hi FROM events) "
+            "WHERE value BETWEEN lo AND hi GROUP BY 1",
+        ),
+        "density": "WITH h AS ("
+        + _every_bin(10, "SELECT least(floor(l_quantity / 50.0::DOUBLE * 10), 9)::INT AS bin, count(*) AS height FROM lineitem GROUP BY 1")
+        + ") SELECT bin, round(height::DOUBLE / (sum(height) OVER ()::DOUBLE * 5.0::DOUBLE), 6) "
         "AS density FROM h",
-        "histogram_bar": _LIST_HISTOGRAM
-        + "SELECT bin, height, repeat('█', round((height - min(height) OVER ())::DOUBLE "
+        "histogram_bar": f"WITH h AS ({_LIST_HISTOGRAM}) "
+        "SELECT bin, height, repeat('█', round((height - min(height) OVER ())::DOUBLE "
         "/ (max(height) OVER () - min(height) OVER ()) * 10)::INT) AS bar FROM h",
         "extract_numbers": f"WITH {_NUMBERS} SELECT doc_id, v AS num FROM x",
         "text_route": f"WITH {_NUMBERS} SELECT has_numbers, count(*) AS cnt FROM (SELECT doc_id IN (SELECT doc_id FROM x) "
@@ -414,6 +430,17 @@ def all_oracles() -> dict[str, str]:
         "rollup_sum_day": f"SELECT {_bucket('ts', 'day')} AS date, count(*) AS cnt, sum(user_id)::DOUBLE AS sum_value "
         "FROM events GROUP BY 1",
         "rollup_all_sums": _all_sums("orders", "o_orderdate", "o_orderkey", "sum(o_orderkey)::DOUBLE"),
+        "sketch_distinct": _union(
+            [
+                f"SELECT '{c}' AS column_name, count({c}) AS cnt, count(DISTINCT {c}) AS uniq, TRUE AS within FROM events"
+                for c in ("event_id", "user_id", "value", "props")
+            ]
+        ),
+        "sketch_quantiles": _union(
+            [f"SELECT '{c}' AS column_name, p::DOUBLE AS p, TRUE AS within FROM (SELECT unnest([0.01, 0.1, 0.5, 0.9, 0.99]) AS p)" for c in ("event_id", "user_id", "value")]
+        ),
+        "rollup_sum_week": f"SELECT {_bucket('ts', 'week')} AS date, count(*) AS cnt, sum(user_id)::DOUBLE AS sum_value "
+        "FROM events WHERE ts IS NOT NULL GROUP BY 1",
         "rollup_week": f"SELECT {_bucket('ts', 'week')} AS date, count(*) AS cnt FROM events WHERE ts IS NOT NULL GROUP BY 1",
         "rollup_summary": "WITH r AS (SELECT date_trunc('day', ts) AS d, count(*) AS c FROM events WHERE ts IS NOT NULL GROUP BY 1) "
         "SELECT sum(c)::BIGINT AS total_rows, count(*) AS buckets, strftime(min(d), '%Y-%m-%d') AS first_bucket, "

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.functions.columns import column
+from tabulens.functions.columns import column, numeric_columns
 from tabulens.functions.datetimes import canonical_moment, moment_kind, parse_moment
 from tabulens.operators import (
     cardinality,
@@ -20,6 +20,7 @@ from tabulens.operators import (
     numeric,
     overview,
     rollups,
+    sketches,
     strings,
     textnumbers,
 )
@@ -120,6 +121,35 @@ def _csv_headers_clean(spark: SparkSession, folder: str) -> DataFrame:
     return names.distinct()
 
 
+def _sketch_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct counts from sketches kept by type and merged, and whether the exact ones lie in their range."""
+    events = table(spark, folder, "events")
+    found = sketches.estimates(sketches.merged(sketches.sketch(events, by=["event_type"])), [])
+    exact = cardinality.cardinality(events).withColumnRenamed("uniq", "exact")
+    within = F.col("exact").between(F.col("uniq_low"), F.col("uniq_high"))
+    return found.join(exact, "column_name").select("column_name", "cnt", F.col("exact").alias("uniq"), within.alias("within"))
+
+
+def _sketch_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantiles from sketches kept by type and merged, and whether their ranks are within twice the bound."""
+    events, points = table(spark, folder, "events"), [0.01, 0.1, 0.5, 0.9, 0.99]
+    names = numeric_columns(events)
+    found = sketches.estimates(sketches.merged(sketches.sketch(events, names, by=["event_type"])), points)
+    q = {r["column_name"]: r["q"] for r in found.collect()}  # one row a column
+    error, rows = 2 * sketches.RANK_ERROR, []
+    for name in names:
+        for point, value in zip(points, q[name], strict=True):
+            below, upto = (F.avg(x.cast("double")) for x in (column(name) < value, column(name) <= value))
+            rows.append(F.struct(F.lit(name).alias("column_name"), F.lit(point).alias("p"), ((below <= point + error) & (upto >= point - error)).alias("within")))
+    return events.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+def _csv_infer_sample(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "dd.MM.yyyy"))
+    text = delimited.read_auto(spark, _csv_copy(rows, "orders-sample", header=True))
+    return delimited.infer_types(text, sample_rows=500).select("column_name", "type")
+
+
 def _csv_infer_types(spark: SparkSession, folder: str) -> DataFrame:
     found = None
     for name in ("customer", "events", "nation", "orders"):
@@ -217,6 +247,7 @@ def all_queries() -> dict[str, Query]:
         "csv_dialect": _csv_dialect,
         "csv_header": _csv_header,
         "csv_headers_clean": _csv_headers_clean,
+        "csv_infer_sample": _csv_infer_sample,
         "csv_infer_types": _csv_infer_types,
         "csv_scan": _csv_scan,
         "csv_scan_gz": _csv_scan_gz,
@@ -236,6 +267,8 @@ def all_queries() -> dict[str, Query]:
         "row_count": _on("events", numeric.row_count),
         "uniq_counts": _on("events", cardinality.cardinality),
         "uniq_counts_text": _on("documents", cardinality.cardinality),
+        "sketch_distinct": _sketch_distinct,
+        "sketch_quantiles": _sketch_quantiles,
         "uniq_counts_approx": _on("events", lambda t: cardinality.cardinality(t, exact=False)),
         "uniq_quantiles": _on("part", cardinality.cardinality_quantiles),
         "numeric_stats": _on("events", numeric.numeric_stats),
@@ -327,6 +360,7 @@ def all_queries() -> dict[str, Query]:
         ),
         "rollup_sum_day": _on("events", lambda t: rollups.rollup_sum(t, "ts", "day", "user_id")),
         "rollup_all_sums": _on("orders", lambda t: rollups.all_rollups(t), 2),
+        "rollup_sum_week": _on("events", lambda t: rollups.rollup_sum(t, "ts", "week", "user_id", drop_null=True)),
         "rollup_week": _on("events", lambda t: rollups.rollup_count(t, "ts", "week")),
         "rollup_summary": _on("events", lambda t: rollups.rollup_summary(t, "ts", "day")),
         "rollup_spans": _on("events", lambda t: rollups.rollup_spans(t, ["ts"])),

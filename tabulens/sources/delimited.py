@@ -121,13 +121,17 @@ def _class_bit(cell: Column, moment: Column) -> Column:
 def infer_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """Column, type and nullability from the texts, in one aggregate over all rows.
 
+    ``sample_rows`` takes that many rows with the smallest hashes of cells and place instead: spread over all files,
+    and picked by a top list of every task.
     Dates widen to timestamps and whole to floating numbers; any other mix is text.
     """
     names = [n for n in df.columns if n != CORRUPT]
     rows = df.filter(column(CORRUPT).isNull()) if CORRUPT in df.columns else df
     rows = rows.select(*[column(n) for n in names])
     if sample_rows is not None:
-        rows = rows.limit(sample_rows)
+        cells = F.struct(*[column(n) for n in names]).alias("cells")
+        placed = rows.select(cells, F.xxhash64(F.monotonically_increasing_id(), *[column(n) for n in names]).alias("place"))
+        rows = placed.orderBy("place").limit(sample_rows).select("cells.*")
     cells = computed(rows, [], **{f"c{i}": _cell(column(n)) for i, n in enumerate(names)})
     moments = {f"m{i}": parse_moment(F.col(f"c{i}")) for i in range(len(names))}
     parsed = computed(cells, cells.columns, **moments)

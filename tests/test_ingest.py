@@ -65,10 +65,11 @@ def test_inference(spark, cells, kind, nullable):
     assert types_of(df) == {"c": (kind, nullable)}
 
 
-def test_sampled_inference_sees_fewer_rows(spark):
-    df = spark.createDataFrame([("1",)] * 5 + [("x",)], "c string").coalesce(1)
-    assert types_of(df)["c"][0] == "string"
-    assert types_of(df, sample_rows=5)["c"][0] == "bigint"
+def test_sampled_inference_is_spread_over_the_rows(spark):
+    df = spark.createDataFrame([("1",)] * 1000 + [("x",)] * 1000, "`a.c` string").coalesce(1)
+    assert types_of(df)["a.c"][0] == "string"
+    assert types_of(df, sample_rows=30)["a.c"][0] == "string"  # the first rows alone are numbers
+    assert types_of(df.limit(1000), sample_rows=30)["a.c"] == ("bigint", False)
 
 
 def test_moments(spark):
