@@ -24,19 +24,16 @@ def types_of(df, **options):
 
 def test_types_of_the_small_files(spark, tmp_path):
     files = {
-        "basic": ("id,name,age,date\n1,John Doe,30,2024-01-01\n2,Jane,25,2024-01-02\n", "bigint string bigint date"),
-        "mixed": ("product,price,quantity,date_added\nApple,1.99,100,2024-01-01\nFig,2,7,2024-01-02\n",
-                  "string double bigint date"),
-        "bare": ("Apple,1.99,100,2024-01-01\nOrange,2.49,150,2024-01-02\n", "string double bigint date"),
-        "one": ("name\nApple\nOrange\nBanana\n", "string"),
-        "tasks": ("Task1;Task2;Task0\n" + "1;2;3\n" * 6, "bigint bigint bigint"),
-    }
+        "gauges": ("gauge;level;checked\nWeir 3;1.25;30.04.2019\nMill;2;01.05.2019\n", "string double date"),
+        "counts": ("7,-12\n8,400000000000\n", "bigint bigint"),
+        "moments": ("seen at|who\n2019-04-30 06:15:00|ann\n2019-05-01|bob\n", "timestamp_ntz string"),
+        "words": ("lake\nInari\n\nBalaton\n", "string"),
+    }
     for name, (text, expected) in files.items():
-        path = tmp_path / f"{name}.csv"
-        path.write_text(text)
-        df = read_auto(spark, str(path))
+        (tmp_path / f"{name}.csv").write_text(text)
+        df = read_auto(spark, str(tmp_path / f"{name}.csv"))
         assert " ".join(t for t, _ in types_of(df).values()) == expected, name
-    assert read_auto(spark, str(tmp_path / "bare.csv")).count() == 2
+    assert read_auto(spark, str(tmp_path / "counts.csv")).count() == 2
 
 
 @pytest.mark.parametrize(
