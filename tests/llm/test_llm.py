@@ -199,6 +199,32 @@ def test_search(spark, docs):
     assert search.top_k(table.limit(0), queries, 5).collect() == []
 
 
+@pytest.mark.parametrize("wide", [1, 4, 10_000])
+def test_block_max_wand_reads_no_more_than_pivots(monkeypatch, wide):
+    """All splits into wide and narrow lists find what a full scan finds, with a threshold from before, too."""
+    monkeypatch.setattr(search, "WIDE", wide)
+    rng = np.random.default_rng(3)
+    rows = [np.r_[rng.zipf(1.3, int(rng.integers(1, 300))) % 500, np.ones(int(rng.integers(0, 3)), int)] for _ in range(700)]
+    rows += [rows[11]] * 30
+    lengths = np.array([len(r) for r in rows])
+    index = search.Index(lengths, np.concatenate(rows), lengths.mean())
+    df = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=500)
+    for query in (rows[3], rows[11], rows[400], np.array([1]), np.array([499, 10_000])):
+        term, times = np.unique(query[query < 500], return_counts=True)
+        weight = times * np.log1p((len(rows) - df[term] + 0.5) / (df[term] + 0.5))
+        exact = np.zeros(len(rows))
+        for t, w in zip(term, weight, strict=True):
+            tf = np.array([(r == t).sum() for r in rows])
+            exact += w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths / lengths.mean()))
+        wanted = np.sort(exact[exact > 0])[::-1]
+        found, scores, level = index.best(term, weight, 10)
+        assert np.allclose(np.sort(scores)[::-1][:10], wanted[:10]) and np.allclose(scores, exact[found])
+        assert {*np.flatnonzero(exact > wanted[min(9, len(wanted) - 1)] + 1e-6)} <= {*found}
+        again, _, same = index.best(term, weight, 10, level)
+        assert {*again} == {*found} and same == level
+        assert len(index.best(term, weight, 10, level * 2 + 1)[0]) == 0
+
+
 def test_search_of_documents(spark, monkeypatch):
     """All documents are met by every twentieth one; in small shards and blocks, copies tie in the order of their ids."""
     from tabulens.llm.queries import llm_queries
