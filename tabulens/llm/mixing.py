@@ -166,26 +166,38 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, repeats: int = MOST_REPEATS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document: ``taken`` words go into the mix."""
+    return scheduled(docs, repeats, block_words).drop("position")
+
+
+def scheduled(docs: DataFrame, repeats: int = MOST_REPEATS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, position) of every document.
+
+    ``taken`` words of it go into the mix, first at ``position`` of the schedule (NULL if none go).
+    """
     pieces = slices(_sized(docs), repeats, block_words)
-    taken = pieces.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum("words"), F.lit(0)).alias("taken"))
-    return taken.select("doc_id", "size", F.col("source_size"), "target", "taken")
+    taken = pieces.groupBy("row", "doc_id", "size", "source_size", "target").agg(
+        F.coalesce(F.sum("words"), F.lit(0)).alias("taken"), F.min("position").alias("position")
+    )
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
-def mixed_documents(docs: DataFrame, repeats: int = MOST_REPEATS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mixed_documents(docs: DataFrame, repeats: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, ordered: bool = False) -> DataFrame:
     """The documents as the mix takes them, with the columns of ``docs``.
 
     A document is repeated once for each pass that takes it whole. The one document per source at
     which its words end is cut after the last word taken; ``n_chars`` follows the text.
-    Documents of size 0 are carried along once.
+    Documents of size 0 are carried along once. ``ordered`` sorts the rows by range of their first
+    position in the schedule, so that every stretch of the output holds the sources close to their
+    weights; documents of size 0 come last. Without it the order is none, and the texts move once less.
     """
     row = free_name(docs, "_row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     kept = cut_lineage(numbered)
     sized = kept.select(F.col(row).alias("row"), "doc_id", "source", word_count(col("text")).alias("size"))
     pieces = slices(sized, repeats, block_words).where("position IS NOT NULL OR size = 0")
-    r, turn, words, size = (free_name(docs, x) for x in ("_r", "_pass", "_words", "_size"))
+    r, turn, words, size, position = (free_name(docs, x) for x in ("_r", "_pass", "_words", "_size", "_position"))
     turns = pieces.groupBy(F.col("row").alias(r), F.col("pass").alias(turn)).agg(
-        F.coalesce(F.sum("words"), F.lit(0)).alias(words), F.first("size").alias(size)
+        F.coalesce(F.sum("words"), F.lit(0)).alias(words), F.first("size").alias(size), F.min("position").alias(position)
     )
     joined = kept.join(turns, F.col(row) == F.col(r))
     gaps = r"[\x20\x09-\x0D]+"
@@ -194,6 +206,8 @@ def mixed_documents(docs: DataFrame, repeats: int = MOST_REPEATS, block_words: i
     cut = F.left(col("text"), F.length(col("text")) - F.length(after))
     text = F.when(F.col(words) == F.col(size), col("text")).otherwise(cut)
     out = joined.withColumn("text", text)
+    if ordered:
+        out = out.orderBy(F.col(position).asc_nulls_last(), row, turn)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[col(c) for c in docs.columns])

@@ -21,7 +21,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def _op1(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents"))
+    return mixing.scheduled(table(spark, folder, "documents"))
 
 
 def _op2(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,7 +98,7 @@ def llm_queries() -> dict[str, Query]:
 
 _OP1 = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -113,15 +113,32 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least((SELECT arg_min(level, place) FROM l WHERE level <= limit_level) * weight, (3 * source_size)::DOUBLE) AS target FROM l
 ), o AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS words,
+  SELECT d.row, d.doc_id, d.source, d.size, t.source_size, t.target, round(t.target)::BIGINT AS words,
     (sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS lo
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), b AS (
+  SELECT source, (sum(blocks) OVER line - blocks)::BIGINT AS start, (sum(blocks) OVER line)::BIGINT AS stop, sum(blocks) OVER ()::BIGINT AS total
+  FROM (SELECT source, ceil(round(target) / 4096)::BIGINT AS blocks FROM t WHERE round(target) > 0)
+  WINDOW line AS (ORDER BY source ASC NULLS LAST)
+), p AS (
+  SELECT source, unnest(range(start, stop)) AS point, CASE WHEN total > 1 THEN length(bin(total - 1)) ELSE 0 END AS bits FROM b
+), v AS (
+  SELECT source, coalesce(list_sum(list_transform(range(bits), lambda i: ((point >> i) & 1) << (bits - 1 - i))), 0)::BIGINT AS position FROM p
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY position) - 1 AS rank FROM v
+), f AS (
+  SELECT row, source, turn * source_size + lo AS a, least(turn * source_size + lo + size, words) AS z
+  FROM o, (VALUES (0), (1), (2)) turns(turn) WHERE size > 0 AND turn * source_size + lo < words
+), m AS (
+  SELECT f.row, min(r.position) AS position
+  FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source AND r.rank BETWEEN f.a // 4096 AND (f.z - 1) // 4096 GROUP BY f.row
 )
 SELECT doc_id, size, source_size, target,
   (greatest(0, least(lo + size, words) - lo)
   + greatest(0, least(source_size + lo + size, words) - (source_size + lo))
-  + greatest(0, least(2 * source_size + lo + size, words) - (2 * source_size + lo)))::BIGINT AS taken
-FROM o
+  + greatest(0, least(2 * source_size + lo + size, words) - (2 * source_size + lo)))::BIGINT AS taken,
+  m.position
+FROM o LEFT JOIN m ON o.row = m.row
 """
 
 

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulens.llm import graphs, licenses, mixing, neardup, packing, quality, search, secrets, toxicity, warc, wordpieces
 from tabulens.llm.queries import tokenizer_path
@@ -48,6 +49,24 @@ def test_mix(docs, empty):
     assert sum(len((r["text"] or "").encode().split()) for r in out.collect()) == sum(r["taken"] for r in found)
 
 
+def test_mixed_documents_by_position(spark):
+    """Every prefix of the ordered mix holds the sources near their weights, hot or not."""
+    rows = [(i, f"{BASE} {i}", "a" if i % 6 else "b") for i in range(600)] + [(600, None, "a"), (601, BASE, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = {r["source"]: 0 for r in docs.select("source").distinct().collect()}
+    for r in mixing.scheduled(docs, block_words=200).join(docs, "doc_id").collect():
+        words[r["source"]] += r["taken"]
+        assert (r["position"] is None) == (r["taken"] == 0)
+    total, seen, n = sum(words.values()), Counter(), 0
+    out = mixing.mixed_documents(docs, block_words=200, ordered=True).collect()
+    for r in out[:-1]:
+        n += len(r["text"].split())
+        seen[r["source"]] += len(r["text"].split())
+        assert all(abs(seen[s] - n * w / total) <= 12 * 200 for s, w in words.items())
+    assert out[-1]["doc_id"] == 600 and n == total
+    assert [r["doc_id"] for r in out] == [r["doc_id"] for r in mixing.mixed_documents(docs, block_words=200, ordered=True).collect()]
+
+
 def test_mix_keeps_documents_without_words(docs):
     rows = [(r["doc_id"], r["text"]) for r in mixing.mixed_documents(docs).collect()]
     assert [rows.count(x) for x in ((4, None), (5, ""), (6, " \n\t "))] == [1, 1, 1]
@@ -258,6 +277,12 @@ def test_warc(spark, tmp_path):
     assert warc.archived(pages.limit(0)).collect() == []
     raw = warc.read_archives(spark, warc.write_pages(pages, str(tmp_path / "raw"))).collect()
     assert Counter(r["payload"] for r in raw) == Counter(h or "" for _, _, h in rows)
+    kept = warc.deduplicate(spark, str(tmp_path / "raw"), str(tmp_path / "kept"))
+    records = warc.read_archives(spark, kept).withColumn("original_uri", F.lit(None).cast("string")).withColumn("original_date", F.col("date"))
+    nowhere = F.when(F.col("page_key") == "3", "00000000-0000-0000-0000-000000000000").otherwise(F.col("refers_to_record"))
+    astray = records.withColumn("original_record", nowhere)
+    found = warc.resolved(spark, warc._write(astray, str(tmp_path / "astray"))).collect()
+    assert {(r["page_id"], r["refers_to"]) for r in found if r["record_type"] == "revisit"} >= {(3, None), (4, 2), (None, 5)}
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\na\r\n\r\n\r\n"
     assert list(warc.parse_records(io.BytesIO(record * 2)))[1][1] == b"a\r\n"
 
