@@ -200,18 +200,26 @@ def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int
     return _write(records.withColumn("record_type", kind), target)
 
 
-def resolved(spark: SparkSession, path: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Each record of deduplicated archives, revisits with the page and the bytes of the response that they stand for."""
+def resolved(spark: SparkSession, path: str) -> DataFrame:
+    """Each record of deduplicated archives, revisits with the page and the bytes of the response that their headers refer to.
+
+    A revisit whose response is not there, or has another digest, has NULL in both. A response to which a third of all
+    records refer is split by adaptive execution.
+    """
     headers = cut_lineage(read_archives(spark, path, payload=False).drop("payload"))
-    first = originals(headers, least_bytes).withColumnRenamed("digest", "_digest")
     revisit = F.col("record_type") == "revisit"
-    joined = headers.join(first, revisit & (F.col("digest") == F.col("_digest")), "left")
+    referred = headers.where(revisit).select(F.col("refers_to_record").alias("_record")).distinct()
+    responses = headers.where(F.col("record_type") == "response").join(referred, F.col("record_id") == F.col("_record"), "left_semi")
+    responses = responses.select(
+        F.col("record_id").alias("_record"), F.col("digest").alias("_digest"), F.col("page_key").alias("_page"), F.col("payload_bytes").alias("_bytes")
+    )
+    joined = headers.join(responses, revisit & (F.col("refers_to_record") == F.col("_record")) & (F.col("digest") == F.col("_digest")), "left")
     return joined.select(
         F.col("page_key").cast("long").alias("page_id"),
-        F.when(revisit, F.col("original_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),
         "record_type",
-        F.when(revisit, F.col("original_page")).alias("refers_to"),
+        F.when(revisit, F.col("_page").cast("long")).alias("refers_to"),
     )
 
 
@@ -219,4 +227,4 @@ def archived(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Pages written to archives, deduplicated, and read back: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
     spark = pages.sparkSession
     raw = write_pages(pages, fresh_path(spark, "warc"))
-    return resolved(spark, deduplicate(spark, raw, fresh_path(spark, "warc-deduplicated"), least_bytes), least_bytes)
+    return resolved(spark, deduplicate(spark, raw, fresh_path(spark, "warc-deduplicated"), least_bytes))
