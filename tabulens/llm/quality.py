@@ -31,8 +31,10 @@ SPACES = b" \t\n\r\x0b\x0c"
 LEAST_WORDS = 10
 MOST_REPEATED = 20  #: percent of the words
 ROUNDS = 200
-#: Accuracies stay within these, and the share of good documents too.
+#: Accuracies stay within these.
 ACCURACY = (0.02, 0.999)
+#: The share of good documents in the prior stays within these. It is a limit of the prior alone: in a corpus with fewer
+#: good documents the votes of a document still decide, and any number of documents can be found bad.
 GOOD_SHARE = (0.3, 0.99)
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_letter_words", "n_symbol_words")
