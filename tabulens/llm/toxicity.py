@@ -152,12 +152,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # SAMPLE narrow rows at most
     train = cut_lineage(texts)
-    counts = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
-    n, toxic = counts["n"], counts["t"]
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4))
+    learns = part > 0  # the others calibrate, and teach neither lexicon nor trees
+    toxic_row = F.coalesce(F.col("toxic"), F.lit(0))
+    counts = train.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(toxic_row), F.lit(0)).alias("t"),
+        F.count_if(learns).alias("own_n"), F.coalesce(F.sum(F.when(learns, toxic_row)), F.lit(0)).alias("own_t"),
+    ).first()
+    n, toxic, own_n, own_toxic = counts
     if not 0 < toxic < n:
         return Model({}, None, None, toxic / n if n else 0.0)
-    lexicon = learned_lexicon(train, toxic, n - toxic)
-    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4))
+    if 0 < own_toxic < own_n:
+        lexicon = learned_lexicon(train.where(learns), own_toxic, own_n - own_toxic)
+    else:  # one label only: all rows of so small a sample teach
+        lexicon = learned_lexicon(train, toxic, n - toxic)
     rows = train.select(array_to_vector(features(F.col("text"), lexicon)).alias("features"), F.col("toxic").cast("double").alias("label"), part.alias("part"))
     rows = cut_lineage(rows.coalesce(4))  # a bounded sample; few tasks keep the many passes of boosting short
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, maxBins=64, minInstancesPerNode=5)
