@@ -207,20 +207,17 @@ def resolved(spark: SparkSession, path: str) -> DataFrame:
     records refer is split by adaptive execution.
     """
     headers = cut_lineage(read_archives(spark, path, payload=False).drop("payload"))
-    revisit = F.col("record_type") == "revisit"
-    referred = headers.where(revisit).select(F.col("refers_to_record").alias("_record")).distinct()
-    responses = headers.where(F.col("record_type") == "response").join(referred, F.col("record_id") == F.col("_record"), "left_semi")
-    responses = responses.select(
-        F.col("record_id").alias("_record"), F.col("digest").alias("_digest"), F.col("page_key").alias("_page"), F.col("payload_bytes").alias("_bytes")
-    )
-    joined = headers.join(responses, revisit & (F.col("refers_to_record") == F.col("_record")) & (F.col("digest") == F.col("_digest")), "left")
-    return joined.select(
-        F.col("page_key").cast("long").alias("page_id"),
-        F.when(revisit, F.col("_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.col("digest").alias("payload_digest"),
-        "record_type",
-        F.when(revisit, F.col("_page").cast("long")).alias("refers_to"),
+    page = F.col("page_key").cast("long")
+    revisits = headers.where("record_type = 'revisit'")
+    others = headers.where("record_type IS DISTINCT FROM 'revisit'")
+    responses = headers.where("record_type = 'response'").select(
+        F.col("record_id").alias("_record"), F.col("digest").alias("_digest"), page.alias("_page"), F.col("payload_bytes").alias("_bytes")
     )
+    found = revisits.join(responses, (F.col("refers_to_record") == F.col("_record")) & (F.col("digest") == F.col("_digest")), "left")
+    names = [page.alias("page_id"), F.col("digest").alias("payload_digest"), F.col("record_type")]
+    found = found.select(*names, F.col("_bytes").alias("payload_bytes"), F.col("_page").alias("refers_to"))
+    own = others.select(*names, "payload_bytes", F.lit(None).cast("long").alias("refers_to"))
+    return own.unionByName(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def archived(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
