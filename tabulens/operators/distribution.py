@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import column
-from tabulens.operators.quantiles import summarize
+from tabulens.operators.quantiles import equi_depth, summarize
 
 # Border quantiles of the two bucket reports, fence width, decimals of a border.
 DECILES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 BORDER_QUANTILES = (0.01, 0.05, 0.1, 0.5, 0.9, 0.95, 0.99)
 FENCE = 1.5
 BORDER_DECIMALS = 6
+# Runs of equal size that are merged to one bin of an adaptive histogram, on average.
+FINENESS = 10
 
 
 def iqr_fences(df: DataFrame, name: str, exact: bool = True, k: float = FENCE) -> DataFrame:
@@ -85,30 +87,63 @@ def quantile_histogram(df: DataFrame, name: str, exact: bool = True) -> DataFram
     return bucket_counts(df, name, borders[1:], closed=True)
 
 
-def adaptive_histogram(df: DataFrame, name: str, n_bins: int = 20) -> DataFrame:
-    """Streaming histogram with data-dependent borders: contiguous bins, start to end.
+def adaptive_histogram(
+    df: DataFrame,
+    name: str,
+    n_bins: int = 20,
+    lo: float | None = None,
+    hi: float | None = None,
+    by_height: bool = False,
+    fineness: int = FINENESS,
+) -> DataFrame:
+    """Contiguous bins whose borders follow the data, over all values or those of a closed range.
 
-    Centroids come from the built-in sketch; neighbours meet halfway, and the outer bins end
-    at the minimum and the maximum. The sketch depends on how the rows are partitioned.
+    Runs of about equal size, ``fineness`` for each bin, are merged from the bottom up: the neighbours with
+    the closest centres become one, its centre weighted by heights, until ``n_bins`` are left. A bin ends
+    where the next one begins, the last at the maximum; heights are exact. NULL and NaN are in no bin.
+    The result depends on the values alone, not on their partitions. Sorted by start or by falling height.
     """
     value = column(name).cast("double")
-    sketch = df.agg(
-        F.histogram_numeric(value, F.lit(n_bins)).alias("_bins"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
+    if lo is not None:
+        df = df.filter(value >= F.lit(float(lo)))
+    if hi is not None:
+        df = df.filter(value <= F.lit(float(hi)))
+    runs = equi_depth(df, name, n_bins * fineness)
+    middle = ((F.col("lo") + F.col("hi")) / 2).alias("x")
+    run = F.struct("lo", "hi", middle, F.col("height").cast("double").alias("y"))
+    # At most n_bins * fineness runs, whatever the table's size.
+    merged = runs.agg(F.array_sort(F.collect_list(run)).alias("_runs")).select(
+        F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.size("_runs") - n_bins, F.lit(1))),
+            F.col("_runs"),
+            lambda bins, _: F.when(F.size(bins) > n_bins, _merge_closest(bins)).otherwise(bins),
+        ).alias("_bins")
+    )
+    each = merged.select("_bins", F.posexplode("_bins").alias("_i", "_b"))
+    following = F.get(F.col("_bins"), F.col("_i") + 1)["lo"]
+    start, end = F.col("_b.lo"), F.coalesce(following, F.col("_b.hi"))
+    bins = each.select(
+        start.alias("range_start"), end.alias("range_end"), F.col("_b.y").alias("height"), ((start + end) / 2).alias("mid")
     )
-    points = F.array_sort(F.transform("_bins", lambda b: F.struct(b["x"].alias("x"), b["y"].alias("y"))))
-    indexed = sketch.select("_lo", "_hi", points.alias("_p")).select("*", F.posexplode("_p").alias("_i", "_b"))
+    return bins.orderBy(F.desc("height"), "range_start") if by_height else bins.orderBy("range_start")
 
-    def halfway(i: Column) -> Column:
-        return (F.get(F.col("_p"), i)["x"] + F.get(F.col("_p"), i + 1)["x"]) / 2
 
-    i = F.col("_i")
-    start = F.when(i == 0, F.col("_lo")).otherwise(halfway(i - 1))
-    end = F.when(i == F.size("_p") - 1, F.col("_hi")).otherwise(halfway(i))
-    bins = indexed.select(
-        start.alias("range_start"), end.alias("range_end"), F.col("_b.y").cast("double").alias("height")
+def _merge_closest(bins: Column) -> Column:
+    """An ordered array of bins with the first of its closest pairs of neighbours as one."""
+    gaps = F.transform(
+        F.sequence(F.lit(1), F.size(bins) - 1),
+        lambda i: F.struct((F.element_at(bins, i + 1)["x"] - F.element_at(bins, i)["x"]).alias("gap"), i.alias("i")),
     )
-    middle = (F.col("range_start") + F.col("range_end")) / 2
-    return bins.withColumn("mid", middle).orderBy("range_start")
+
+    def joined(at: Column) -> Column:
+        a, b = F.element_at(bins, at), F.element_at(bins, at + 1)
+        height = a["y"] + b["y"]
+        centre = (a["x"] * a["y"] + b["x"] * b["y"]) / height
+        one = F.struct(a["lo"].alias("lo"), b["hi"].alias("hi"), centre.alias("x"), height.alias("y"))
+        return F.concat(F.slice(bins, 1, at - 1), F.array(one), F.slice(bins, at + 2, F.size(bins)))
+
+    # The place passes through a lambda, so that the gaps are computed once.
+    return F.element_at(F.transform(F.array(F.array_min(gaps)["i"]), joined), 1)
 
 
 def _bin_of(value: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -152,10 +187,13 @@ def central_histogram(
 
 
 def density(histogram: DataFrame) -> DataFrame:
-    """Heights scaled so that the area over all bins is one; each bin keeps its own width."""
+    """Heights scaled so that the area over all bins is one; each bin keeps its own width.
+
+    A bin without a width (one value) has no density.
+    """
     area = F.sum(F.col("height")).over(Window.partitionBy(F.lit(0)))  # one row per bin
     width = F.col("range_end") - F.col("range_start")
-    return histogram.withColumn("density", F.col("height") / (area * width))
+    return histogram.withColumn("density", F.col("height") / F.nullif((area * width).cast("double"), F.lit(0.0)))
 
 
 def with_bars(histogram: DataFrame, width: int = 10, lo: float | None = None, hi: float | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ CELL_ROWS = 100_000
 # Accuracy of the sketches: the rank error is the group size divided by it.
 ACCURACY = 10_000
 
-_INDEX = "_column"
+INDEX = "_column"
 
 
 def summarize(
@@ -44,13 +44,44 @@ def summarize(
     narrow = df.select(*[column(k) for k in keys], *[column(c).cast("double").alias(c) for c in columns])
     if not probabilities or not exact:
         return _one_pass(narrow, columns, probabilities, keys)
-    ranked = _by_cells(placed_values(narrow, columns, keys, cell_rows), [*keys, _INDEX], probabilities)
+    return summarize_counted(value_counts(narrow, columns, keys), columns, probabilities, keys, cell_rows)
+
+
+def summarize_counted(
+    counted: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    keys: Sequence[str] = (),
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """The exact summary from rows of ``value_counts``, one per group, column and value."""
+    columns, keys = list(columns), list(keys)
+    placed = _placed(counted, [*keys, INDEX], cell_rows)
+    ranked = _by_cells(placed, [*keys, INDEX], [float(p) for p in probabilities])
     names = F.array(*[F.lit(c) for c in columns])
     return ranked.select(
-        *_cols(keys), F.get(names, _INDEX).alias("column_name"), "cnt", "min", "max", "avg", "sum", "q"
+        *_cols(keys), F.get(names, INDEX).alias("column_name"), "cnt", "min", "max", "avg", "sum", "q"
     )
 
 
+def value_counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The distinct values of each group and column as doubles: ``_column`` (place in the list), ``_v``,
+    ``_copies`` (0 for NULL) and ``_rows`` (NULLs included).
+
+    Values meet map-side, so a hot value travels once per task. Tables of finer keys give those of
+    coarser ones by ``merged_counts``.
+    """
+    rows = _value_rows(df, list(columns), list(keys))
+    group = _cols([*keys, INDEX, "_v"])
+    return rows.groupBy(*group).agg(F.count("_v").alias("_copies"), F.count("*").alias("_rows"))
+
+
+def merged_counts(counted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Counted values of coarser groups from those of finer ones."""
+    group = _cols([*keys, INDEX, "_v"])
+    return counted.groupBy(*group).agg(F.sum("_copies").alias("_copies"), F.sum("_rows").alias("_rows"))
+
+
 def _cols(names: Sequence[str]) -> list[Column]:
     return [column(n) for n in names]
 
@@ -79,7 +110,7 @@ def _one_pass(df: DataFrame, columns: list[str], probabilities: list[float], key
 def _value_rows(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """One row per value; a number stands for the column, because it sorts faster than a name."""
     pairs = [x for i, c in enumerate(columns) for x in (F.lit(i), column(c))]
-    return df.select(*_cols(keys), F.stack(F.lit(len(columns)), *pairs).alias(_INDEX, "_v"))
+    return df.select(*_cols(keys), F.stack(F.lit(len(columns)), *pairs).alias(INDEX, "_v"))
 
 
 def _position(p: float, total: str) -> str:
@@ -116,19 +147,49 @@ def _interpolated(total: str, probabilities: list[float]) -> Column:
     return F.expr(f"CASE WHEN {total} > 0 THEN array({', '.join(quantiles)}) END AS q")
 
 
-def placed_values(df: DataFrame, columns: list[str], keys: list[str], cell_rows: int) -> DataFrame:
+def _placed(counted: DataFrame, group: list[str], cell_rows: int) -> DataFrame:
     """The distinct values of each group with their copies, in order over the partitions, and the cell of each.
 
     Written once: the cells of later branches are those of the same partitions, also after a lost executor.
     """
-    group = [*keys, _INDEX]
-    counted = _value_rows(df, columns, keys).groupBy(*_cols(group), "_v").agg(F.count("_v").alias("_copies"))
-    ordered = counted.repartitionByRange(*_cols(group), "_v").sortWithinPartitions(*_cols(group), "_v")
+    narrow = counted.select(*_cols(group), "_v", "_copies")
+    ordered = narrow.repartitionByRange(*_cols(group), "_v").sortWithinPartitions(*_cols(group), "_v")
     # The number of a row has its partition in the upper bits, so no cell spans two.
     cell = F.floor(F.monotonically_increasing_id() / cell_rows)
     return cut_lineage(ordered.withColumn("_cell", cell))
 
 
+def placed_values(df: DataFrame, columns: list[str], keys: list[str], cell_rows: int) -> DataFrame:
+    """The values of a table, counted and placed."""
+    return _placed(value_counts(df, columns, keys), [*keys, INDEX], cell_rows)
+
+
+def equi_depth(df: DataFrame, name: str, bins: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The values of one column in at most ``bins`` runs of about equal size: ``bin``, ``lo``, ``hi``, ``height``.
+
+    A value goes whole into the run of its first copy, so the runs depend on the values alone. The ranks
+    come from the sizes of the cells and, within a cell, from a running sum.
+    """
+    value = column(name).cast("double")
+    narrow = df.select(value.alias("_n")).filter(F.col("_n").isNotNull() & ~F.isnan("_n"))
+    placed = _placed(value_counts(narrow, ["_n"]), [INDEX], cell_rows)
+    whole = Window.partitionBy(F.lit(0))  # one row a cell
+    in_order = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = placed.groupBy("_cell").agg(F.sum("_copies").alias("_size")).select(
+        "_cell",
+        (F.sum("_size").over(in_order) - F.col("_size")).alias("_before"),
+        F.sum("_size").over(whole).alias("_total"),
+    )
+    running = Window.partitionBy("_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.col("_before") + F.sum("_copies").over(running) - F.col("_copies")
+    # Decimals, because the product of a rank and the number of bins may exceed a long.
+    run = F.floor(first.cast("decimal(28,0)") * F.lit(bins).cast("decimal(9,0)") / F.col("_total")).cast("int")
+    binned = placed.join(cells, "_cell").select(run.alias("bin"), "_v", "_copies")
+    return binned.groupBy("bin").agg(
+        F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("_copies").alias("height")
+    )
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """Join on possibly-NULL keys."""
     right = right.select(*[column(c).alias(f"_r_{c}" if c in on else c) for c in right.columns])

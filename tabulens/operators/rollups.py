@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import column, date_columns, first_numeric_column, has_time, numeric_columns, total
 from tabulens.functions.datetimes import UNITS, bucket_label, bucket_text, check_unit
-from tabulens.operators.quantiles import summarize
+from tabulens.operators.quantiles import INDEX, merged_counts, summarize, summarize_counted, value_counts
+from tabulens.session import cut_lineage
 
 # Points that still fit a chart, and the window of the pair choice.
 MOST_POINTS = 20
@@ -107,7 +106,7 @@ def buckets_per_unit(
     The rows are counted once per finest bucket; coarser units add up those counts.
     """
     names = date_columns(df) if dates is None else list(dates)
-    finest = min(units, key=UNITS.index)
+    finest = _finest(units)
     stacked = None
     for name in names:
         rows = df.select(F.lit(name).alias("column_name"), _truncated(name, finest).alias("_fine"))
@@ -208,6 +207,22 @@ def all_rollups(
     return stacked
 
 
+def _finest(units: Sequence[str]) -> str:
+    """The unit whose buckets all the wanted ones consist of; weeks do not nest in months."""
+    nested = ["day" if check_unit(u) == "week" else u for u in units]
+    return min(nested, key=UNITS.index)
+
+
+def _fine_values(df: DataFrame, dates: Sequence[str], columns: Sequence[str], unit: str) -> DataFrame:
+    """The counted values of every column per date column and finest bucket, from one scan."""
+    buckets = F.array(
+        *[F.struct(F.lit(i).alias("_date"), _truncated(d, unit).cast("timestamp_ntz").alias("_fine")) for i, d in enumerate(dates)]
+    )
+    numbers = [column(c).cast("double").alias(f"_n{i}") for i, c in enumerate(columns)]
+    narrow = df.select(F.inline(buckets), *numbers)
+    return value_counts(narrow, [f"_n{i}" for i in range(len(numbers))], ["_date", "_fine"])
+
+
 def all_measures(
     df: DataFrame,
     dates: Sequence[str] | None = None,
@@ -216,13 +231,71 @@ def all_measures(
     measures: Sequence[str] = MEASURES,
     exact: bool = True,
 ) -> DataFrame:
-    """The measure rollups of every date column and unit in one long table, NULL buckets kept."""
-    names = date_columns(df) if dates is None else list(dates)
-    if not names:
+    """The measure rollups of every date column and unit in one long table, NULL buckets kept.
+
+    One scan counts the values per finest bucket of every date column. These counts are written once
+    and merged to the buckets of all units, whose counts and exact medians come from one ranking.
+    Without ``exact`` (or without medians) the rows are aggregated at once, without counted values.
+    """
+    dates = date_columns(df) if dates is None else list(dates)
+    if not dates:
         raise ValueError("the table has no date column")
-    parts = [
-        rollup(df, name, unit, columns, measures, exact=exact).withColumn("rollup", F.lit(f"{name}__{unit}"))
-        for name in names
-        for unit in units
+    names = numeric_columns(df) if columns is None else list(columns)
+    levels = [(i, u) for i in range(len(dates)) for u in units]
+    keys = ["_rollup", "_bucket"]
+    if exact and names and "median" in measures:
+        fine = _fine_values(df, dates, names, _finest(units))
+        leveled = cut_lineage(merged_counts(_leveled(fine, levels), keys))
+        long = summarize_counted(leveled, names, [0.5], keys).withColumn("median", F.get("q", F.lit(0)))
+        counts = leveled.filter(F.col(INDEX) == 0).groupBy(*keys).agg(F.sum("_rows").alias("cnt"))
+    else:
+        each = [
+            F.struct(F.lit(n).alias("_rollup"), _truncated(dates[i], u).cast("timestamp_ntz").alias("_bucket"))
+            for n, (i, u) in enumerate(levels)
+        ]
+        rows = df.select(F.inline(F.array(*each)), *[column(c) for c in names])
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("cnt"))
+        long = None
+        if names and measures:
+            long = summarize(rows, names, [0.5] if "median" in measures else [], keys, exact)
+            long = long.withColumn("median", F.get("q", F.lit(0)))
+    return _as_rollups(counts, long, [(dates[i], u) for i, u in levels], names, measures)
+
+
+def _leveled(fine: DataFrame, levels: Sequence[tuple[int, str]]) -> DataFrame:
+    """The finest buckets, once for each wanted level of their date column."""
+    each = [
+        F.when(
+            F.col("_date") == i,
+            F.struct(F.lit(n).alias("_rollup"), F.date_trunc(u, "_fine").cast("timestamp_ntz").alias("_bucket")),
+        )
+        for n, (i, u) in enumerate(levels)
     ]
-    return reduce(DataFrame.unionByName, parts)
+    here = F.filter(F.array(*each), lambda level: level.isNotNull())
+    return fine.select(F.inline(here), INDEX, "_v", "_copies", "_rows")
+
+
+def _as_rollups(
+    counts: DataFrame,
+    long: DataFrame | None,
+    levels: Sequence[tuple[str, str]],
+    names: Sequence[str],
+    measures: Sequence[str],
+) -> DataFrame:
+    """Counts and long measures as one row per rollup and bucket, in one aggregate."""
+    rows = counts
+    if long is not None and measures:
+        rows = counts.unionByName(long.drop("cnt", "q"), allowMissingColumns=True)
+        picked = [
+            F.max(F.when(F.col("column_name") == name, F.col(m))).alias(f"{m}__{name}")
+            for name in names
+            for m in measures
+        ]
+        rows = rows.groupBy("_rollup", "_bucket").agg(F.max("cnt").alias("cnt"), *picked)
+    text, label = F.lit(None).cast("string"), F.array(*[F.lit(f"{d}__{u}") for d, u in levels])
+    for n, (_, unit) in enumerate(levels):
+        text = F.when(F.col("_rollup") == n, bucket_text(F.col("_bucket"), unit)).otherwise(text)
+    kept = [column(c) for c in rows.columns if c not in ("_rollup", "_bucket", "cnt")]
+    return rows.select(
+        text.alias("datetime"), "cnt", F.lit(ROW_TAG).alias("common"), *kept, F.get(label, F.col("_rollup")).alias("rollup")
+    )

@@ -228,6 +228,23 @@ def _every_bin(bins: int, filled: str) -> str:
     )
 
 
+def _adaptive(table: str, name: str, bins: int, where: str = "TRUE") -> str:
+    """Runs of equal size, the closest neighbours merged one pair after the other."""
+    pair = "list_min(list_transform(range(1, len(s)), lambda i: {'gap': s[i + 1].x - s[i].x, 'i': i})).i"
+    centre = "(s[k].x * s[k].y + s[k + 1].x * s[k + 1].y) / (s[k].y + s[k + 1].y)"
+    return (
+        f"WITH RECURSIVE v AS (SELECT {name}::DOUBLE AS v, count(*) AS c FROM {table} WHERE {name} IS NOT NULL AND {where} GROUP BY 1), "
+        "r AS (SELECT v, c, sum(c) OVER (ORDER BY v) - c AS b, sum(c) OVER () AS n FROM v), "
+        f"p AS (SELECT (b * {bins * 10}) // n AS bin, min(v) AS lo, max(v) AS hi, sum(c)::DOUBLE AS y FROM r GROUP BY 1), "
+        "m AS (SELECT list({'lo': lo, 'hi': hi, 'x': (lo + hi) / 2, 'y': y} ORDER BY lo) AS s FROM p UNION ALL "
+        "SELECT list_concat(list_concat(s[:k - 1], [{'lo': s[k].lo, 'hi': s[k + 1].hi, "
+        f"'x': {centre}, 'y': s[k].y + s[k + 1].y}}]), s[k + 2:]) FROM (SELECT s, {pair} AS k FROM m WHERE len(s) > {bins})), "
+        f"f AS (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM m WHERE len(s) <= {bins}), "
+        "e AS (SELECT s[i].lo AS a, coalesce(s[i + 1].lo, s[i].hi) AS z, s[i].y AS height FROM f) "
+        "SELECT round(a, 4) AS range_start, round(z, 4) AS range_end, height, round((a + z) / 2, 4) AS mid FROM e"
+    )
+
+
 _LIST_HISTOGRAM = _every_bin(
     10,
     "SELECT least(floor((value - 1) / 199.0::DOUBLE * 10), 9)::INT AS bin, count(*) AS height FROM events "
@@ -236,7 +253,7 @@ _LIST_HISTOGRAM = _every_bin(
 
 
 def all_oracles() -> dict[str, str]:
-    """SQL by query name; the approximate and partition-dependent queries have none."""
+    """SQL by query name; the approximate queries have none."""
     fine_to_coarse = {"hour": 1, "day": 2, "month": 3, "year": 4}
     coarse_to_fine = {"hour": 4, "day": 3, "month": 2, "year": 1}
     return {
@@ -393,6 +410,9 @@ def all_oracles() -> dict[str, str]:
         "r AS (SELECT round(b[i], 6) AS range_start, round(b[i+1], 6) AS range_end FROM q, range(1, 7) t(i)) "
         "SELECT range_start, range_end, count(value) AS cnt FROM r LEFT JOIN events "
         "ON value >= range_start AND value <= range_end GROUP BY 1, 2",
+        "adaptive_histogram": _adaptive("events", "value", 20),
+        "adaptive_range_by_start": _adaptive("events", "value", 10, "value BETWEEN 1 AND 100"),
+        "adaptive_range_by_height": _adaptive("lineitem", "l_extendedprice", 100, "l_extendedprice BETWEEN 1000 AND 50000"),
         "range_histogram": _every_bin(
             10,
             "SELECT least(floor((value - 1) / 99.0::DOUBLE * 10), 9)::INT AS bin, count(*) AS height "

@@ -322,6 +322,10 @@ def all_queries() -> dict[str, Query]:
             6,
         ),
         "adaptive_histogram": _on("events", lambda t: distribution.adaptive_histogram(t, "value")),
+        "adaptive_range_by_start": _on("events", lambda t: distribution.adaptive_histogram(t, "value", 10, 1.0, 100.0)),
+        "adaptive_range_by_height": _on(
+            "lineitem", lambda t: distribution.adaptive_histogram(t, "l_extendedprice", 100, 1000.0, 50000.0, by_height=True)
+        ),
         "range_histogram": _on(
             "events", lambda t: distribution.equal_width_histogram(t, "value", 10, 1.0, 100.0).select("bin", "height")
         ),

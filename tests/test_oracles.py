@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 QUERIES = {name: query for name, query in entry.queries().items() if name in all_queries()}
 ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 # Rows only: approximate or dependent on the partitioning.
-WITHOUT_SQL = {"uniq_counts_approx", "numeric_stats_approx", "adaptive_histogram"}
+WITHOUT_SQL = {"uniq_counts_approx", "numeric_stats_approx"}
 
 
 @pytest.fixture(scope="module")
