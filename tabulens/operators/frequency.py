@@ -42,7 +42,11 @@ def top_values(
         .groupBy("column_name", "value")
         .agg(F.count("*").alias("cnt"))
     )
-    total = df.select(F.count("*")).scalar()
+    return best_values(counts, df.select(F.count("*")).scalar(), n, rare, min_count)
+
+
+def best_values(counts: DataFrame, total: Column, n: int = 10, rare: bool = False, min_count: int = 1) -> DataFrame:
+    """The ``n`` first of each column's counted values and their share of ``total``."""
     kept = counts.filter(F.col("value").isNotNull() & (F.col("cnt") >= min_count))
     ranking = Window.partitionBy("column_name").orderBy(*_ordering(rare, ["value"]))
     ranked = kept.withColumn("_rank", F.row_number().over(ranking)).filter(F.col("_rank") <= n)
@@ -63,8 +67,26 @@ def top_combos(
     names = groupable_columns(df) if columns is None else list(columns)
     if len(names) < 2:
         raise ValueError("a combination needs at least two groupable columns")
-    total = df.select(F.count("*")).scalar()
-    counts = df.groupBy(*[column(c) for c in names]).agg(F.count("*").alias("cnt"))
+    return best_combos(combo_counts(df, names), names, df.select(F.count("*")).scalar(), n, rare, min_count)
+
+
+def combo_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The combinations of values of some columns with their rows, ``_cnt``."""
+    return df.groupBy(*[column(c) for c in names]).agg(F.count("*").alias("_cnt"))
+
+
+def values_of_combos(combos: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Counts of single values from those of combinations."""
+    texts = combos.select("_cnt", *[column(c).cast("string").alias(c) for c in names])
+    rows = texts.unpivot(["_cnt"], [column(c) for c in names], "column_name", "value")
+    return rows.groupBy("column_name", "value").agg(F.sum("_cnt").alias("cnt"))
+
+
+def best_combos(
+    combos: DataFrame, names: Sequence[str], total: Column, n: int = 10, rare: bool = False, min_count: int = 1
+) -> DataFrame:
+    """The ``n`` first counted combinations and their share of ``total``."""
+    counts = combos.withColumnRenamed("_cnt", "cnt")
     best = counts.filter(F.col("cnt") >= min_count).orderBy(*_ordering(rare, names)).limit(n)
     return best.select("cnt", *[column(c) for c in names], percent(F.col("cnt"), total).alias("percentage"))
 

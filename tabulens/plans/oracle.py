@@ -185,6 +185,42 @@ def _spans(table: str, date: str, units: dict[str, int]) -> str:
     )
 
 
+def _cell(section: str, name: str, item: str, measure: str, value: str, source: str) -> str:
+    return f"SELECT '{section}' AS section, {name} AS name, {item} AS item, '{measure}' AS measure, ({value})::DOUBLE AS value FROM {source}"
+
+
+def _full_profile(table: str, numbers: list[str], texts: list[str], date: str | None = None) -> str:
+    """The whole profile as one long table; the texts are those that pass the cardinality gate."""
+    quantiles = {"quantile001": 0.01, "quantile099": 0.99, "quantile01": 0.1, "quantile09": 0.9, "median": 0.5}
+    cells = [_cell("columns", "'all'", "NULL::VARCHAR", "cnt", "count(*)", table), _cell("columns", "'all'", "NULL", "is_numeric", "0", "(SELECT 1)")]
+    for n in [*numbers, *texts]:
+        facts = {"uniq": f"count(DISTINCT {n})", "is_numeric": f"max({int(n in numbers)})"}
+        if n in numbers:
+            facts |= {m: f"{m}({n})" for m in ("avg", "min", "max")} | {m: f"quantile_cont({n}, {p})" for m, p in quantiles.items()}
+        cells += [_cell("columns", f"'{n}'", "NULL", m, x, table) for m, x in facts.items()]
+    share = f"cnt * 100.0::DOUBLE / (SELECT count(*) FROM {table})"
+    names = ", ".join(texts)
+    joined = " || '|' || ".join(f"coalesce({n}, '\\N')" for n in texts)
+    for prefix, order, where in (("frequent", "cnt DESC", "TRUE"), ("rare", "cnt", "cnt > 1")):
+        tops = [
+            f"(SELECT * FROM (SELECT {n} AS value, count(*) AS cnt FROM {table} WHERE {n} IS NOT NULL GROUP BY 1) "
+            f"WHERE {where} ORDER BY {order}, value LIMIT 10)"
+            for n in texts
+        ]
+        cells += [_cell(prefix, f"'{n}'", "value", m, x, t) for n, t in zip(texts, tops) for m, x in {"cnt": "cnt", "percentage": share}.items()]
+        if len(texts) > 1:
+            both = (
+                f"(SELECT * FROM (SELECT {names}, count(*) AS cnt FROM {table} GROUP BY ALL) WHERE {where} ORDER BY {order}, {names} LIMIT 10)"
+            )
+            cells += [_cell(f"{prefix}_combinations", f"'{'+'.join(texts)}'", joined, m, x, both) for m, x in {"cnt": "cnt", "percentage": share}.items()]
+    for u in ("hour", "day", "month", "year") if date else ():
+        facts = {"cnt": "count(*)"} | {f"{m}__{n}": f"{m}({n})" for n in numbers for m in ("min", "max", "median", "avg", "sum")}
+        name, bucket, grouped = f"'{date}__{u}'", _bucket(date, u), f"{table} GROUP BY 3"
+        cells += [_cell("rollups", name, bucket, m, x, grouped) for m, x in facts.items()]
+        cells += [_cell("graphs", name, bucket, m, x, grouped) for m, x in {"cnt": "count(*)", "sum_value": f"sum({numbers[0]})"}.items()]
+    return f"SELECT section, name, item, measure, round(value + 1e-8, 4) AS value FROM ({_union(cells)}) WHERE value IS NOT NULL"
+
+
 _FENCES = (
     "WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events), "
     "f AS (SELECT round(q1 - 1.5 * (q3 - q1), 6) AS lo, round(q3 + 1.5 * (q3 - q1), 6) AS hi FROM q) "
@@ -410,6 +446,9 @@ def all_oracles() -> dict[str, str]:
         "r AS (SELECT round(b[i], 6) AS range_start, round(b[i+1], 6) AS range_end FROM q, range(1, 7) t(i)) "
         "SELECT range_start, range_end, count(value) AS cnt FROM r LEFT JOIN events "
         "ON value >= range_start AND value <= range_end GROUP BY 1, 2",
+        "full_profile_part": _full_profile("part", _PART_NUMBERS, _PART_TEXTS),
+        "full_profile_events": _full_profile("events", _EVENT_NUMBERS, ["event_type", "props"], "ts"),
+        "full_profile_orders": _full_profile("orders", _ORDER_NUMBERS, ["o_orderstatus", "o_orderpriority"], "o_orderdate"),
         "adaptive_histogram": _adaptive("events", "value", 20),
         "adaptive_range_by_start": _adaptive("events", "value", 10, "value BETWEEN 1 AND 100"),
         "adaptive_range_by_height": _adaptive("lineitem", "l_extendedprice", 100, "l_extendedprice BETWEEN 1000 AND 50000"),

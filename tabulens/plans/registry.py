@@ -202,6 +202,10 @@ def _date_like(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("column_name", F.round("date_share", 4).alias("share"), "date_like", "all_dates")
 
 
+def _full_profile(df: DataFrame) -> DataFrame:
+    return rounded(profile.profile_rows(profile.full_profile(df)), 4, 1e-8)
+
+
 def _density(spark: SparkSession, folder: str) -> DataFrame:
     line = table(spark, folder, "lineitem")
     bins = distribution.equal_width_histogram(line, "l_quantity", 10, 0.0, 50.0)
@@ -282,6 +286,9 @@ def all_queries() -> dict[str, Query]:
         )),
         "profile_table": _on("part", profile.profile_table),
         "profile_report": _on("part", lambda t: profile.profile_report(profile.profile_table(t))),
+        "full_profile_part": _on("part", _full_profile, None),
+        "full_profile_events": _on("events", _full_profile, None),
+        "full_profile_orders": _on("orders", _full_profile, None),
         "column_overview": _on("part", overview.column_overview),
         "describe_numbers": _on("customer", overview.describe_numbers),
         "sample_values": _on("orders", overview.sample_values),

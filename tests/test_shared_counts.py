@@ -9,8 +9,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tabulens.operators import distribution, rollups
+from tabulens.operators import distribution, frequency, rollups
 from tabulens.operators.quantiles import equi_depth
+from tabulens.plans import profile
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +117,39 @@ def test_equal_runs_across_cells(spark):
     runs = equi_depth(df, "v", 8, cell_rows=90).orderBy("bin").collect()
     assert [r["height"] for r in runs] == [1252, 1248, 1252, 1248, 1252, 1248, 1252, 1248]
     assert runs[0]["lo"] == 0 and runs[-1]["hi"] == 2499
+
+
+def section(parts, name):
+    return values_of(parts[name])
+
+
+def test_full_profile_equals_its_single_parts(moments):
+    long = F.concat(F.lit("t" * 90), F.col("n").cast("string"))
+    df = moments.withColumn("odd + name", long).withColumn("flag", F.col("n") > 3).withColumn("few", F.col("x").cast("int").cast("string"))
+    parts = profile.full_profile(df)
+    grouped = ["odd + name", "few"]
+    assert section(parts, "columns") == values_of(profile.profile_table(df))
+    for name, options in (("frequent", {}), ("rare", {"rare": True, "min_count": 2})):
+        assert section(parts, name) == values_of(frequency.top_values(df, grouped, **options))
+        combos = frequency.top_combos(df, grouped, **options)
+        assert section(parts, f"{name}_combinations") == values_of(combos)
+    assert section(parts, "rollups") == values_of(rollups.all_measures(df))
+    rows = profile.profile_rows(parts)
+    assert rows.columns == ["section", "name", "item", "measure", "value"]
+    found = {tuple(r)[:4]: r["value"] for r in rows.collect()}
+    assert found["columns", "all", None, "cnt"] == 900 and found["columns", "odd + name", None, "uniq"] == 7
+    assert found["columns", "flag", None, "is_numeric"] == 0 and ("columns", "flag", None, "avg") not in found
+    assert any(k[0] == "frequent_combinations" and k[2].startswith("\\N|") for k in found)
+
+
+def test_full_profile_of_edge_tables(spark, moments):
+    empty = profile.full_profile(moments.limit(0))
+    assert profile.profile_rows(empty).collect() == []
+    dates = profile.full_profile(moments.select("day"))
+    assert {r["section"] for r in profile.profile_rows(dates).collect()} == {"columns", "rollups", "graphs"}
+    nulls = profile.full_profile(spark.createDataFrame([(None, None), (None, None)], "s string, n double"))
+    assert [tuple(r) for r in profile.profile_rows(nulls).filter("measure = 'cnt'").collect()] == [("columns", "all", None, "cnt", 2.0)]
+    zeros = profile.full_profile(spark.createDataFrame([(0.0,), (-0.0,), (math.nan,)], "z double"))
+    assert zeros["columns"].filter("column_name = 'z'").first()["uniq"] == 2
+    mixed = profile.full_profile(spark.createDataFrame([(2**53,), (2**53 + 1,)], "big long"))
+    assert mixed["columns"].filter("column_name = 'big'").first()["uniq"] == 2
