@@ -166,7 +166,7 @@ def _csv_infer_types(spark: SparkSession, folder: str) -> DataFrame:
 def _csv_load(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part")
     text = delimited.read_auto(spark, _csv_copy(part, "part", header=True), prefix=True)
-    return load.load(text)
+    return load.load(text, order=["0001_p_partkey"])
 
 
 def _parse_dates(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulens.functions.datetimes import canonical_moment, moment_kind, parse_moment
+from tabulens.plans.registry import all_queries
 from tabulens.sinks.export import export_rollups, read_rollups
 from tabulens.sinks.load import load, with_sequential_id
 from tabulens.sources.catalog import list_tables
@@ -136,6 +137,23 @@ def test_ids_follow_row_order(spark):
     assert all(r["id"] == r["v"] + 1 for r in with_sequential_id(df).collect())
 
 
+def test_ids_follow_a_key_across_files_of_several_sizes(spark, tmp_path):
+    first = 0
+    for i, size in enumerate((5, 400, 60, 900, 30)):  # the reader takes the largest file first
+        (tmp_path / f"{i}.csv").write_text("n,text\n" + "".join(f"{n},t{n}\n" for n in range(first, first + size)))
+        first += size
+    loaded = load(read_auto(spark, str(tmp_path)), order=["n"]).collect()
+    assert sorted(r["id"] for r in loaded) == list(range(1, first + 1))
+    assert all(r["id"] == r["n"] + 1 and r["text"] == f"t{r['n']}" for r in loaded)
+
+
+def test_csv_load_numbers_rows_by_key(spark, tmp_path):
+    part = spark.range(3_000).selectExpr("2999 - id AS p_partkey", "'a b' AS p_name", "'Brand#1' AS p_brand", "'PROMO' AS p_type", "1 AS p_size", "9.5D AS p_retailprice")
+    part.repartition(5).write.parquet(str(tmp_path / "part.parquet"))
+    loaded = all_queries()["csv_load"](spark, str(tmp_path)).collect()
+    assert len(loaded) == 3_000 and all(r["id"] == r["0001_p_partkey"] + 1 for r in loaded)
+
+
 def test_own_id_is_kept(spark):
     df = spark.createDataFrame([("7", "a"), ("9", "b")], "id string, t string")
     assert sorted(r["id"] for r in load(df).collect()) == [7, 9]
