@@ -80,12 +80,15 @@ def moment_kind(text: Column) -> Column:
     return F.when(parse_moment(text).isNotNull(), kind)
 
 
-def canonical_moment(text: Column) -> Column:
-    """ISO text of the parsed moment: date only, to the second, or with its fraction."""
+def canonical_moment(text: Column, full: bool = False) -> Column:
+    """ISO text of the parsed moment: date only, to the second, or with its fraction (``full``: of six digits, zeros too)."""
     moment, kind = parse_moment(text), moment_kind(text)
+    precise = moment.cast("string")
+    if full:  # the cast leaves out the zeros at the end, and with them the point
+        precise = F.rpad(F.regexp_replace(precise, "^.{19}$", "$0."), 26, "0")
     return (
         F.when(kind == "Date", moment.cast("date").cast("string"))
-        .when(kind == "DateTime64", moment.cast("string"))
+        .when(kind == "DateTime64", precise)
         .otherwise(F.substring(moment.cast("string"), 1, 19))
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.functions.columns import column, numeric_columns
+from tabulens.functions.columns import column, computed, numeric_columns
 from tabulens.functions.datetimes import canonical_moment, moment_kind, parse_moment
 from tabulens.operators import (
     cardinality,
@@ -183,11 +183,11 @@ def _parse_moments(spark: SparkSession, folder: str) -> DataFrame:
     """Event times with their fractions, as ISO text with T and Z, parsed back."""
     events = table(spark, folder, "events")
     text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
-    parsed = events.select("event_id", text.alias("t"))
+    parsed = computed(events, ["event_id"], t=text)
     return parsed.select(
         "event_id",
         moment_kind(F.col("t")).alias("kind"),
-        F.rpad(canonical_moment(F.col("t")), 26, "0").alias("canonical"),
+        canonical_moment(F.col("t"), full=True).alias("canonical"),
     )
 
 

@@ -101,6 +101,14 @@ def test_moments(spark):
         assert (row["m"] is None) == (row["k"] is None)
 
 
+def test_whole_seconds_keep_six_digits(spark, tmp_path):
+    cases = {1: "2024-01-13 03:56:54.000000", 2: "2024-01-13 03:56:54.500000", 3: "2024-01-13 00:00:00.000000", 4: "2024-01-13 03:56:54.000001", 5: None}
+    events = spark.createDataFrame(list(cases.items()), "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    found = all_queries()["parse_moments"](spark, str(tmp_path)).collect()
+    assert {r["event_id"]: r["canonical"] for r in found} == cases
+
+
 def test_ragged_rows_are_kept_and_flagged(spark, tmp_path):
     path = tmp_path / "ragged.csv"
     path.write_text('a,b\n1,2\n3\n4,5,6\n"x ""y""",7\n')
