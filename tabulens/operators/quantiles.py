@@ -7,6 +7,9 @@ Two ways to the same long table (keys, column_name, cnt, min, max, avg, sum, q):
   range-partitioned by group and value, so that a large group is many tasks. Runs of
   ``CELL_ROWS`` neighbouring rows of a partition are cells; their sizes, one row a cell, give the ranks at
   which every cell begins. Only cells that hold a wanted rank are ranked row by row.
+
+The number of partitions follows the number of values, so that no task counts or sorts more than about
+``TASK_ROWS`` of them, whatever the size of the files' splits and the session's shuffle partitions.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import column
-from tabulens.session import cut_lineage
+from tabulens.session import cut_lineage, partitions_for
 
-# Distinct values that are ranked together.
-CELL_ROWS = 100_000
+# Distinct values that are ranked together: few, since a group up to this size is sorted a second time as a whole.
+CELL_ROWS = 2_000
+# Cells with a wanted rank that may be broadcast.
+BROADCAST_CELLS = 200_000
 # Accuracy of the sketches: the rank error is the group size divided by it.
 ACCURACY = 10_000
 
@@ -44,7 +49,11 @@ def summarize(
     narrow = df.select(*[column(k) for k in keys], *[column(c).cast("double").alias(c) for c in columns])
     if not probabilities or not exact:
         return _one_pass(narrow, columns, probabilities, keys)
-    return summarize_counted(value_counts(narrow, columns, keys), columns, probabilities, keys, cell_rows)
+    partitions = partitions_for(df.count() * len(columns))
+    counted = value_counts(narrow, columns, keys, partitions)
+    if partitions > 1:
+        counted = cut_lineage(counted, partitions)
+    return summarize_counted(counted, columns, probabilities, keys, cell_rows, partitions)
 
 
 def summarize_counted(
@@ -53,35 +62,37 @@ def summarize_counted(
     probabilities: Sequence[float],
     keys: Sequence[str] = (),
     cell_rows: int = CELL_ROWS,
+    partitions: int = 1,
 ) -> DataFrame:
-    """The exact summary from rows of ``value_counts``, one per group, column and value."""
+    """The exact summary from rows of ``value_counts``; a group may have a value in several rows.
+
+    ``partitions`` is the number that keeps tasks small, 1 where the session's number will do.
+    """
     columns, keys = list(columns), list(keys)
-    placed = _placed(counted, [*keys, INDEX], cell_rows)
-    ranked = _by_cells(placed, [*keys, INDEX], [float(p) for p in probabilities])
+    placed = _placed(counted, [*keys, INDEX], cell_rows, partitions)
+    ranked = _by_cells(placed, [*keys, INDEX], [float(p) for p in probabilities], partitions)
     names = F.array(*[F.lit(c) for c in columns])
     return ranked.select(
         *_cols(keys), F.get(names, INDEX).alias("column_name"), "cnt", "min", "max", "avg", "sum", "q"
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """The rows over so many partitions by their hash, as they are for 1: a split of a file may hold too many for one task."""
+    return df if partitions == 1 else df.repartition(partitions, F.xxhash64(*_cols(df.columns)))
+
+
+def value_counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), partitions: int = 1) -> DataFrame:
     """The distinct values of each group and column as doubles: ``_column`` (place in the list), ``_v``,
     ``_copies`` (0 for NULL) and ``_rows`` (NULLs included).
 
-    Values meet map-side, so a hot value travels once per task. Tables of finer keys give those of
-    coarser ones by ``merged_counts``.
+    Values meet map-side, so a hot value travels once per task.
     """
-    rows = _value_rows(df, list(columns), list(keys))
+    rows = _value_rows(spread(df, partitions), list(columns), list(keys))
     group = _cols([*keys, INDEX, "_v"])
     return rows.groupBy(*group).agg(F.count("_v").alias("_copies"), F.count("*").alias("_rows"))
 
 
-def merged_counts(counted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Counted values of coarser groups from those of finer ones."""
-    group = _cols([*keys, INDEX, "_v"])
-    return counted.groupBy(*group).agg(F.sum("_copies").alias("_copies"), F.sum("_rows").alias("_rows"))
-
-
 def _cols(names: Sequence[str]) -> list[Column]:
     return [column(n) for n in names]
 
@@ -147,16 +158,19 @@ def _interpolated(total: str, probabilities: list[float]) -> Column:
     return F.expr(f"CASE WHEN {total} > 0 THEN array({', '.join(quantiles)}) END AS q")
 
 
-def _placed(counted: DataFrame, group: list[str], cell_rows: int) -> DataFrame:
+def _placed(counted: DataFrame, group: list[str], cell_rows: int, partitions: int = 1) -> DataFrame:
     """The distinct values of each group with their copies, in order over the partitions, and the cell of each.
 
     Written once: the cells of later branches are those of the same partitions, also after a lost executor.
     """
     narrow = counted.select(*_cols(group), "_v", "_copies")
-    ordered = narrow.repartitionByRange(*_cols(group), "_v").sortWithinPartitions(*_cols(group), "_v")
+    # Two short keys sort fastest; groups whose hashes agree lie among each other, each still in order.
+    order = [F.xxhash64(*_cols(group)) if len(group) > 1 else column(group[0]), column("_v")]
+    ranged = narrow.repartitionByRange(partitions, *order) if partitions > 1 else narrow.repartitionByRange(*order)
+    ordered = ranged.sortWithinPartitions(*order)
     # The number of a row has its partition in the upper bits, so no cell spans two.
     cell = F.floor(F.monotonically_increasing_id() / cell_rows)
-    return cut_lineage(ordered.withColumn("_cell", cell))
+    return cut_lineage(ordered.withColumn("_cell", cell), partitions)
 
 
 def placed_values(df: DataFrame, columns: list[str], keys: list[str], cell_rows: int) -> DataFrame:
@@ -197,7 +211,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str)
     return left.join(right, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
-def _by_cells(placed: DataFrame, group: list[str], probabilities: list[float]) -> DataFrame:
+def _by_cells(placed: DataFrame, group: list[str], probabilities: list[float], partitions: int = 1) -> DataFrame:
     """The summary from placed values; only rows of cells with a wanted rank are moved and sorted again."""
     in_cell = [*group, "_cell"]
     cells = placed.groupBy(*_cols(in_cell)).agg(
@@ -213,11 +227,17 @@ def _by_cells(placed: DataFrame, group: list[str], probabilities: list[float]) -
         (F.sum("_size").over(in_order) - F.col("_size")).alias("_before"),
         F.sum("_size").over(whole).alias("_total"),
     )
+    if partitions > 1:
+        ranged = cut_lineage(ranged, partitions)
     holds = (F.col("_size") > 0) & _covers_wanted("_before", "_before + _size", "_total", probabilities)
     wanted = ranged.filter(holds).select(*_cols(in_cell), "_before", "_total")
 
     running = Window.partitionBy(*_cols(in_cell)).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if partitions > 1 and wanted.count() <= BROADCAST_CELLS:
+        wanted = F.broadcast(wanted)
     candidates = _null_safe_join(placed, wanted, in_cell, "inner")
+    if partitions > 1:
+        candidates = candidates.repartition(partitions, *_cols(in_cell))
     end = F.col("_before") + F.sum("_copies").over(running)
     covered = candidates.select(*_cols(group), "_v", "_total", (end - F.col("_copies")).alias("_from"), end.alias("_to"))
     covered = covered.filter(_covers_wanted("_from", "_to", "_total", probabilities))

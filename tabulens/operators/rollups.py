@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.columns import column, date_columns, first_numeric_column, has_time, numeric_columns, total
 from tabulens.functions.datetimes import UNITS, bucket_label, bucket_text, check_unit
-from tabulens.operators.quantiles import INDEX, merged_counts, summarize, summarize_counted, value_counts
-from tabulens.session import cut_lineage
+from tabulens.operators.quantiles import INDEX, summarize, summarize_counted, value_counts
+from tabulens.session import cut_lineage, partitions_for
 
 # Points that still fit a chart, and the window of the pair choice.
 MOST_POINTS = 20
@@ -213,14 +213,14 @@ def _finest(units: Sequence[str]) -> str:
     return min(nested, key=UNITS.index)
 
 
-def _fine_values(df: DataFrame, dates: Sequence[str], columns: Sequence[str], unit: str) -> DataFrame:
+def _fine_values(df: DataFrame, dates: Sequence[str], columns: Sequence[str], unit: str, partitions: int) -> DataFrame:
     """The counted values of every column per date column and finest bucket, from one scan."""
     buckets = F.array(
         *[F.struct(F.lit(i).alias("_date"), _truncated(d, unit).cast("timestamp_ntz").alias("_fine")) for i, d in enumerate(dates)]
     )
     numbers = [column(c).cast("double").alias(f"_n{i}") for i, c in enumerate(columns)]
     narrow = df.select(F.inline(buckets), *numbers)
-    return value_counts(narrow, [f"_n{i}" for i in range(len(numbers))], ["_date", "_fine"])
+    return value_counts(narrow, [f"_n{i}" for i in range(len(numbers))], ["_date", "_fine"], partitions)
 
 
 def all_measures(
@@ -234,7 +234,8 @@ def all_measures(
     """The measure rollups of every date column and unit in one long table, NULL buckets kept.
 
     One scan counts the values per finest bucket of every date column. These counts are written once
-    and merged to the buckets of all units, whose counts and exact medians come from one ranking.
+    and ranked together for the buckets of all units; a value of a coarse bucket keeps a row for each of its
+    finest ones, as a ranking needs no merged copies.
     Without ``exact`` (or without medians) the rows are aggregated at once, without counted values.
     """
     dates = date_columns(df) if dates is None else list(dates)
@@ -244,9 +245,10 @@ def all_measures(
     levels = [(i, u) for i in range(len(dates)) for u in units]
     keys = ["_rollup", "_bucket"]
     if exact and names and "median" in measures:
-        fine = _fine_values(df, dates, names, _finest(units))
-        leveled = cut_lineage(merged_counts(_leveled(fine, levels), keys))
-        long = summarize_counted(leveled, names, [0.5], keys).withColumn("median", F.get("q", F.lit(0)))
+        partitions = partitions_for(df.count() * len(names) * len(levels))
+        finest = _finest(units)
+        leveled = _leveled(cut_lineage(_fine_values(df, dates, names, finest, partitions), partitions), levels, finest)
+        long = summarize_counted(leveled, names, [0.5], keys, partitions=partitions).withColumn("median", F.get("q", F.lit(0)))
         counts = leveled.filter(F.col(INDEX) == 0).groupBy(*keys).agg(F.sum("_rows").alias("cnt"))
     else:
         each = [
@@ -262,17 +264,16 @@ def all_measures(
     return _as_rollups(counts, long, [(dates[i], u) for i, u in levels], names, measures)
 
 
-def _leveled(fine: DataFrame, levels: Sequence[tuple[int, str]]) -> DataFrame:
+def _leveled(fine: DataFrame, levels: Sequence[tuple[int, str]], finest: str) -> DataFrame:
     """The finest buckets, once for each wanted level of their date column."""
-    each = [
-        F.when(
-            F.col("_date") == i,
-            F.struct(F.lit(n).alias("_rollup"), F.date_trunc(u, "_fine").cast("timestamp_ntz").alias("_bucket")),
-        )
-        for n, (i, u) in enumerate(levels)
-    ]
-    here = F.filter(F.array(*each), lambda level: level.isNotNull())
-    return fine.select(F.inline(here), INDEX, "_v", "_copies", "_rows")
+    several = len({i for i, _ in levels}) > 1
+    each = []
+    for n, (i, u) in enumerate(levels):
+        bucket = F.col("_fine") if u == finest else F.date_trunc(u, "_fine").cast("timestamp_ntz")
+        level = F.struct(F.lit(n).alias("_rollup"), bucket.alias("_bucket"))
+        each.append(F.when(F.col("_date") == i, level) if several else level)
+    rows = fine.select(F.inline(F.array(*each)), INDEX, "_v", "_copies", "_rows")
+    return rows.filter(F.col("_rollup").isNotNull()) if several else rows
 
 
 def _as_rollups(

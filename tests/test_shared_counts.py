@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tabulens import session
 from tabulens.operators import distribution, frequency, rollups
 from tabulens.operators.quantiles import equi_depth
 from tabulens.plans import profile
@@ -153,3 +154,31 @@ def test_full_profile_of_edge_tables(spark, moments):
     assert zeros["columns"].filter("column_name = 'z'").first()["uniq"] == 2
     mixed = profile.full_profile(spark.createDataFrame([(2**53,), (2**53 + 1,)], "big long"))
     assert mixed["columns"].filter("column_name = 'big'").first()["uniq"] == 2
+
+
+def largest_task(spark, table, monkeypatch, rows):
+    """The rollups with tasks of so many rows, and the most ranked rows that one task wrote."""
+    monkeypatch.setattr(session, "TASK_ROWS", rows)
+    kept, before = [], session.fresh_path
+    monkeypatch.setattr(session, "fresh_path", lambda s, name: kept.append(before(s, name)) or kept[-1])
+    found = rollups.all_measures(table)
+    ranked = [t for t in map(spark.read.parquet, kept) if {"_cell", "_v"} <= set(t.columns)]
+    return found, max(r["count"] for t in ranked for r in t.groupBy(F.input_file_name()).count().collect())
+
+
+def test_tasks_do_not_grow_with_the_table(spark, moments, monkeypatch):
+    once, most = largest_task(spark, moments, monkeypatch, 500)
+    thrice = moments
+    for i in (1, 2):
+        thrice = thrice.unionByName(moments.withColumn("x", F.col("x") + i * 0.001))
+    many, most_of_many = largest_task(spark, thrice.coalesce(1), monkeypatch, 500)
+    assert most <= 4 * 500 and most_of_many <= 4 * 500
+    monkeypatch.undo()
+    assert values_of(once) == values_of(rollups.all_measures(moments))
+    assert values_of(many) == values_of(rollups.all_measures(thrice))
+
+
+def test_full_profile_with_small_tasks(moments, monkeypatch):
+    whole = {k: values_of(v) for k, v in profile.full_profile(moments).items()}
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    assert {k: values_of(v) for k, v in profile.full_profile(moments).items()} == whole
