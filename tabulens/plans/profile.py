@@ -20,9 +20,9 @@ from tabulens.operators.frequency import (
     values_of_combos,
 )
 from tabulens.operators.numeric import PROFILE_QUANTILES, named_quantiles, profile_long
-from tabulens.operators.quantiles import INDEX, summarize_counted
+from tabulens.operators.quantiles import INDEX, spread, summarize_counted
 from tabulens.operators.rollups import all_measures, all_rollups
-from tabulens.session import cut_lineage
+from tabulens.session import cut_lineage, partitions_for
 
 # Name of the row about the whole table, and the fields of a profile in order.
 WHOLE_TABLE = "all"
@@ -103,9 +103,11 @@ def shared_counts(df: DataFrame) -> DataFrame:
     for i, name in enumerate(names):
         number = column(name) if name in numbers else F.lit(None)
         cells += [F.lit(i), text_key(df, name), number.cast("double")]
-    rows = df.select(F.stack(F.lit(len(names)), *cells).alias(INDEX, "_key", "_v"))
+    partitions = partitions_for(df.count() * len(names))
+    narrow = spread(df.select(*[column(n) for n in names]), partitions)
+    rows = narrow.select(F.stack(F.lit(len(names)), *cells).alias(INDEX, "_key", "_v"))
     counted = rows.groupBy(INDEX, "_key", "_v").agg(F.count("_v").alias("_copies"), F.count("*").alias("_rows"))
-    return cut_lineage(counted)
+    return cut_lineage(counted, partitions)
 
 
 def _profile_of_counts(df: DataFrame, shared: DataFrame) -> DataFrame:
@@ -119,7 +121,8 @@ def _profile_of_counts(df: DataFrame, shared: DataFrame) -> DataFrame:
     places = [i for i, n in enumerate(names) if n in numbers]
     if places:
         numeric = shared.filter(F.col(INDEX).isin(places))
-        long = summarize_counted(numeric, names, list(PROFILE_QUANTILES.values())).filter("cnt > 0")
+        partitions = partitions_for(numeric.count())
+        long = summarize_counted(numeric, names, list(PROFILE_QUANTILES.values()), partitions=partitions).filter("cnt > 0")
         fields = ["column_name", "avg", "min", "max", *named_quantiles(list(PROFILE_QUANTILES))]
         parts.append(long.select(*fields, F.lit(True).alias("is_numeric")))
     return _whole(parts)
