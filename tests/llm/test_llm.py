@@ -7,8 +7,10 @@ import io
 import math
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +246,26 @@ def test_block_max_wand_reads_no_more_than_pivots(monkeypatch, wide):
         assert len(index.best(term, weight, 10, 2.0**60)[0]) == 0
 
 
+def test_task_of_many_shards_returns_its_k_best(monkeypatch):
+    """Neither the rows that a task returns nor their order follow its shards; copies that tie are cut by id."""
+    rng = np.random.default_rng(9)
+    rows = [rng.zipf(1.3, int(rng.integers(1, 60))) % 300 for _ in range(400)] + [np.arange(30)] * 200
+    ids = pa.array([None, *rng.permutation(5_000)[: len(rows) - 1].tolist()], pa.int64())
+    batch = pa.record_batch([ids, pa.array([r.tolist() for r in rows], pa.list_(pa.int64()))], ["id", "terms"])
+    weighed = [(q, *np.unique(rows[q], return_counts=True)) for q in (3, 77, 450)]
+    names, number = np.unique(np.concatenate([t for _, t, _ in weighed]), return_inverse=True)
+    ends = np.r_[0, np.cumsum([len(t) for _, t, _ in weighed])]
+    sent = SimpleNamespace(value=(np.array([3, 77, 450]), ends, names, number, np.concatenate([w for *_, w in weighed]).astype(float)))
+    got = []
+    for shard, block in ((1_000_000, 1_024), (1_000_000, 50), (500, 1_024), (500, 5)):
+        monkeypatch.setattr(search, "SHARD_TERMS", shard)
+        monkeypatch.setattr(search, "BLOCK_ROWS", block)
+        got.append([tuple(r.values()) for b in search._searcher(10, 30.0, sent)(iter([batch])) for r in b.to_pylist()])
+    assert all(g == got[0] for g in got) and len(got[0]) == 30
+    copies = sorted(x for x in ids.to_pylist()[400:])
+    assert [i for q, i, _ in got[0] if q == 450] == copies[:10]
+
+
 def test_search_of_documents(spark, monkeypatch):
     """All documents are met by every twentieth one; in small shards and blocks, copies tie in the order of their ids."""
     from tabulens.llm.queries import llm_queries
