@@ -11,12 +11,29 @@ from pyspark.sql import functions as F
 
 from tabulens.session import cut_lineage
 
+#: Edges that a task holds at once (17 bytes each, and some arrays of that length); no more are left to the last task.
+EDGES = 200_000
+
 _EDGES = "a long, b long, open boolean"
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The edges, up to ``EDGES`` of them at once."""
+    held: list[pa.RecordBatch] = []
+    for whole in batches:
+        for start in range(0, len(whole), EDGES):
+            batch = whole.slice(start, EDGES)
+            if held and sum(map(len, held)) + len(batch) > EDGES:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each batch of edges as stars: each of its nodes with the smallest one that it reaches in the batch."""
-    for batch in batches:
+    for batch in _gathered(batches):
         ends = np.concatenate([batch.column(k).to_numpy() for k in ("a", "b")])
         nodes, place = np.unique(ends, return_inverse=True)
         left, right = place[: len(batch)], place[len(batch) :]
@@ -29,7 +46,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.minimum.at(label, last[right], low)
             label = label[label]
         far = np.flatnonzero(label != np.arange(len(nodes)))
-        still = bool(len(batch)) and bool(batch.column("open").to_numpy(zero_copy_only=False).any())
+        still = bool(len(batch)) and bool(batch.column("open").to_numpy().any())
         columns = [pa.array(nodes[far], pa.int64()), pa.array(nodes[label[far]], pa.int64()), pa.array(np.full(len(far), still))]
         yield pa.RecordBatch.from_arrays(columns, ["a", "b", "open"])
 
@@ -48,9 +65,11 @@ def components(edges: DataFrame) -> DataFrame:
     join. What a task writes it first shrinks to stars, batch by batch; an edge may so be
     written by several tasks, which minima do not mind. ``open`` marks what a node with a smaller
     neighbour and yet another one gave; without such nodes, the edges were stars already.
+    As soon as ``EDGES`` or fewer are left, one task makes them stars, without shuffles: a step over few edges
+    takes as many tasks as one over many.
     """
     current = _written(edges.select(F.col("a").cast("long"), F.col("b").cast("long"), F.lit(True).alias("open")))
-    while True:
+    while current.count() > EDGES:
         for larger in (True, False):
             ways = F.array(F.struct(F.col("a").alias("of"), F.col("b")), F.struct(F.col("b").alias("of"), F.col("a").alias("b")))
             near = current.select(F.inline(ways)).groupBy("of").agg(F.min("b").alias("low"), F.max("b").alias("high"))
@@ -64,5 +83,7 @@ def components(edges: DataFrame) -> DataFrame:
             current = _written(step)
         if current.where("open").isEmpty():
             break
+    else:
+        current = _written(current.coalesce(1))
     members = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))
     return current.select(F.inline(members)).distinct()

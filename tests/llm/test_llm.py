@@ -195,6 +195,24 @@ def test_components(spark):
     assert found == {i: 1 if i <= 20 or i > 40 else 21 for i in range(1, 61)}
 
 
+@pytest.mark.parametrize("held", [200_000, 7])
+def test_components_of_few_edges_take_few_tasks(spark, monkeypatch, held):
+    """A path, stars, a ring and copies of edges, with and without shuffled steps; few edges need no shuffle."""
+    monkeypatch.setattr(graphs, "EDGES", held)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 230)] + [(300 + i, 300 + (i + 1) % 9) for i in range(9)] * 2
+    context, group, name = spark.sparkContext, f"components-{held}", "spark.sql.adaptive.coalescePartitions.enabled"
+    context.setJobGroup(group, "components")
+    spark.conf.set(name, "false")
+    found = dict(graphs.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect())
+    spark.conf.unset(name)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {n: n // 100 * 100 for e in edges for n in e}
+    tracker = context.statusTracker()
+    infos = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    tasks = sum(x.numTasks for x in infos if x)
+    assert tasks <= 40 if held > len(edges) else tasks > 40, tasks
+
+
 def test_search(spark, docs):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(f"t{int(x)}" for x in rng.zipf(1.4, int(rng.integers(1, 40))) % 200)) for i in range(400)] + [(7, "t1 t2"), (400, None), (401, "")]
