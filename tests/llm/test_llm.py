@@ -284,6 +284,35 @@ def test_task_of_many_shards_returns_its_k_best(monkeypatch):
     assert [i for q, i, _ in got[0] if q == 450] == copies[:10]
 
 
+@pytest.mark.parametrize("read", [1, 250, 1 << 30])
+def test_a_shard_is_indexed_once_for_all_blocks_of_queries(monkeypatch, read):
+    """However many blocks the queries come in, each shard of rows is indexed once; all ways to read wide lists find what a full scan finds."""
+    rng = np.random.default_rng(11)
+    rows = [rng.zipf(1.3, int(rng.integers(1, 80))) % 300 + 1_000 * int(rng.integers(0, 3)) for _ in range(900)]
+    ids = rng.permutation(5_000)[: len(rows)]
+    batch = pa.record_batch([pa.array(ids, pa.int64()), pa.array([r.tolist() for r in rows], pa.list_(pa.int64()))], ["id", "terms"])
+    lengths, made, index = np.array([len(r) for r in rows]), [], search.Index
+    monkeypatch.setattr(search, "Index", lambda *a: made.append(1) or index(*a))
+    monkeypatch.setattr(search, "SHARD_TERMS", int(lengths.sum()) // 3 + 100)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(search, "READ", read)
+    sent, wanted = [], []
+    for block in (range(0, 900, 90), range(5, 900, 90), range(0)):
+        weighed = [(q, *np.unique(rows[q], return_counts=True)) for q in block]
+        names, number = np.unique(np.concatenate([np.empty(0, int), *(t for _, t, _ in weighed)]), return_inverse=True)
+        ends = np.cumsum([0, *(len(t) for _, t, _ in weighed)])
+        sent.append(SimpleNamespace(value=(np.array([q for q, *_ in weighed], int), ends, names, number, np.concatenate([np.empty(0), *(w for *_, w in weighed)]))))
+        for q, term, weight in weighed:
+            scores = []
+            for i, r in zip(ids.tolist(), rows, strict=True):
+                tf = (r == term[:, None]).sum(1)
+                if score := float((weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(r) / 30.0))).sum()):
+                    scores.append((-round(score, 9), i))
+            wanted += [(q, i, pytest.approx(-s, abs=1e-8)) for s, i in sorted(scores)[:10]]
+    found = [tuple(r.values()) for b in search._searcher(10, 30.0, *sent)(iter([batch])) for r in b.to_pylist()]
+    assert len(made) == 3 and found == wanted
+
+
 def test_search_of_documents(spark, monkeypatch):
     """All documents are met by every twentieth one; in small shards and blocks, copies tie in the order of their ids."""
     from tabulens.llm.queries import llm_queries
